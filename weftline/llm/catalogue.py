@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import tokens, windows
+from weftline.llm import personal, tokens, windows
 from weftline.sources.tables import table
 
 
@@ -16,5 +16,18 @@ def p9_windows(spark: SparkSession, folder: str) -> DataFrame:
     return windows.windows(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_windows": p9_windows}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.found_lines(table(spark, folder, "documents"), table(spark, folder, "name_parts"))
+
+
+def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.redact(table(spark, folder, "documents"), table(spark, folder, "name_parts"))
+
+
+QUERIES = {
+    "p8_ids": p8_ids,
+    "p9_windows": p9_windows,
+    "p10_found": p10_found,
+    "p10_masked": p10_masked,
+}
 ORACLE: dict[str, str] = {}
