@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import personal, tokens, windows
+from weftline.llm import pairs, personal, tokens, windows
 from weftline.sources.tables import table
 
 
+_PAIR = ("request_id", "query_text", "answer", "asked_at")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.first_defect(table(spark, folder, "query_log"), *_PAIR)
+
+
+def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.by_id(table(spark, folder, "query_log"), *_PAIR)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -25,6 +36,8 @@ def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_defects": p3_defects,
     "p8_ids": p8_ids,
     "p9_windows": p9_windows,
     "p10_found": p10_found,
