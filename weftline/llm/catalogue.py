@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pairs, personal, tokens, windows
+from weftline.llm import pairs, personal, pieces, tokens, windows
 from weftline.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.oversized(table(spark, folder, "segments"), ["video_id", "idx"], "text")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split(table(spark, folder, "segments"), ["video_id", "idx"], "text")
+
+
 _PAIR = ("request_id", "query_text", "answer", "asked_at")
 
 
@@ -36,6 +44,8 @@ def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_defects": p3_defects,
     "p8_ids": p8_ids,
@@ -43,4 +53,9 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_masked": p10_masked,
 }
-ORACLE: dict[str, str] = {}
+#: White space as a DuckDB string, for ``trim``.
+_BLANK = " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"SELECT DISTINCT video_id, idx FROM segments WHERE length(trim(text, {_BLANK})) > 300",
+}
