@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pairs, personal, pieces, tokens, windows
+from weftline.llm import pairs, personal, pieces, runs, tokens, windows
 from weftline.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split(table(spark, folder, "segments"), ["video_id", "idx"], "text")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.collapse(table(spark, folder, "raw_segments")).select("video_id", "first_idx", "last_idx")
+
+
+def p2_events(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.collapse(table(spark, folder, "raw_segments"))
+
+
 _PAIR = ("request_id", "query_text", "answer", "asked_at")
 
 
@@ -46,6 +54,8 @@ def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_events": p2_events,
     "p3_found": p3_found,
     "p3_defects": p3_defects,
     "p8_ids": p8_ids,
