@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pairs, personal, pieces, runs, tokens, windows
+from weftline.llm import pairs, personal, pieces, runs, tokens, turns, windows
 from weftline.sources.tables import table
 
 
@@ -35,6 +35,18 @@ def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.by_id(table(spark, folder, "query_log"), *_PAIR)
 
 
+def _transcripts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, folder, "raw_segments"), table(spark, folder, "segments"), table(spark, folder, "speakers")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.turn_starts(*_transcripts(spark, folder))
+
+
+def p7_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.turns(*_transcripts(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -58,6 +70,8 @@ QUERIES = {
     "p2_events": p2_events,
     "p3_found": p3_found,
     "p3_defects": p3_defects,
+    "p7_found": p7_found,
+    "p7_turns": p7_turns,
     "p8_ids": p8_ids,
     "p9_windows": p9_windows,
     "p10_found": p10_found,
