@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import pairs, personal, pieces, runs, tokens, turns, windows
+from weftline.llm import languages, pairs, personal, pieces, runs, tokens, turns, windows
 from weftline.sources.tables import table
 
 
@@ -35,6 +36,20 @@ def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.by_id(table(spark, folder, "query_log"), *_PAIR)
 
 
+def _labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
+    seg = table(spark, folder, "segments").select(F.lit("segments").alias("origin"), F.concat_ws(":", "video_id", F.col("idx").cast("string")).alias("item_key"), F.col("text"), F.col("lang"))
+    ko = table(spark, folder, "knowledge_objects").select(F.lit("knowledge_objects").alias("origin"), F.col("id").alias("item_key"), F.col("content").alias("text"), F.col("lang"))
+    return seg.unionByName(ko)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.faults(_labelled_texts(spark, folder), ["origin", "item_key"], "text", "lang")
+
+
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.identify(_labelled_texts(spark, folder), ["origin", "item_key"], "text", "lang").drop("known_words")
+
+
 def _transcripts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, folder, "raw_segments"), table(spark, folder, "segments"), table(spark, folder, "speakers")
 
@@ -70,6 +85,8 @@ QUERIES = {
     "p2_events": p2_events,
     "p3_found": p3_found,
     "p3_defects": p3_defects,
+    "p4_found": p4_found,
+    "p4_languages": p4_languages,
     "p7_found": p7_found,
     "p7_turns": p7_turns,
     "p8_ids": p8_ids,
