@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import languages, pairs, personal, pieces, runs, tokens, turns, windows
+from weftline.llm import languages, neardups, pairs, personal, pieces, runs, tokens, turns, windows
 from weftline.sources.tables import table
 
 
@@ -50,6 +50,10 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages.identify(_labelled_texts(spark, folder), ["origin", "item_key"], "text", "lang").drop("known_words")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardups.pairs(table(spark, folder, "knowledge_objects")).select("id_a", "id_b")
+
+
 def _transcripts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, folder, "raw_segments"), table(spark, folder, "segments"), table(spark, folder, "speakers")
 
@@ -87,6 +91,7 @@ QUERIES = {
     "p3_defects": p3_defects,
     "p4_found": p4_found,
     "p4_languages": p4_languages,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_turns": p7_turns,
     "p8_ids": p8_ids,
