@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import intervals
+from weftline.plans import intervals, library
 
-_PARTS = [intervals]
+_PARTS = [intervals, library]
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE = {k: s for p in _PARTS for k, s in p.ORACLE.items()}
-FLAGSHIP = intervals.p5_found
+FLAGSHIP = library.briefs
