@@ -63,7 +63,9 @@ def boundaries(span: DataFrame, keys: list[str], bucket_ms: int = BUCKET_MS) ->
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         sessions.groupBy(*keys, "bucket")
-        .agg(F.max("e").alias("top"))
+        .agg(F.max("e").alias("top"), F.min("s").alias("low"))
+        # Always true; it makes this branch read the same columns as the other, so that one shuffle serves both.
+        .filter(F.col("low") < F.col("top"))
         .select(*keys, "bucket", F.max("top").over(before).alias("carried"))
         .filter(F.col("carried").isNotNull())
     )
