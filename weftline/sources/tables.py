@@ -24,3 +24,14 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def row_number(keys: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+
+
+def drawn(df: DataFrame, rows: int, by: list[str], total: int) -> DataFrame:
+    """At most ``rows`` rows, chosen by a hash of ``by``; ``total`` is about the number of rows there are.
+
+    A share of the hash range is taken first, so that what reaches the driver's
+    merge stays near the sample's size however many partitions there are.
+    """
+    share = 1.0 if total <= 4 * rows else 4 * rows / total
+    h = df.withColumn("_h", F.xxhash64(*by)).filter(F.pmod("_h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    return h.orderBy("_h", *by).limit(rows).drop("_h")
