@@ -38,9 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import drawn
+
 LANGUAGES = ["en", "ja", "de", "fr", "es", "pt"]
 #: Labelled rows the filters are fitted on; bounds the driver's work.
 TRAIN_ROWS = 8_000
+TRAIN_LONGEST = 4_000
 SLOTS_LOG2, HASHES = 20, 2
 NGRAMS = (3, 4, 5)
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate, and it was seen so often.
@@ -151,11 +154,11 @@ class Filters:
     def fit(cls, texts: list[str], labels: list[str]) -> Filters:
         groups = [[w for _, _, words in stretches(t) for w in words] for t in texts]
         h, owner, _ = features(groups)
-        lang = np.array([LANGUAGES.index(x) for x in labels])
+        lang = np.array([LANGUAGES.index(x) for x in labels], dtype=np.int64)
         # Each n-gram once per text: a hash of both decides.
         _, once = np.unique((h ^ (h >> np.uint64(33))) * _K[1] + owner.astype(np.uint64) * _K[0], return_index=True)
         grams, where = np.unique(h[once], return_inverse=True)
-        cell = np.bincount(where * len(LANGUAGES) + lang[owner[once]], minlength=len(grams) * len(LANGUAGES))
+        cell = np.bincount(where.astype(np.int64) * len(LANGUAGES) + lang[owner[once].astype(np.int64)], minlength=len(grams) * len(LANGUAGES))
         seen = cell.reshape(len(grams), len(LANGUAGES)).astype(float)
         total = np.maximum(np.bincount(lang, minlength=len(LANGUAGES)), 1)
         rate = seen / total
@@ -255,16 +258,10 @@ def _tagger(filters, keys: list[str], text: str):
 
 
 def fitted(df: DataFrame, text: str, lang: str, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """The filters' table from at most ``train_rows`` labelled rows, drawn by a hash of the text."""
-    rows = (
-        df.select(F.col(text).alias("t"), label(F.col(lang)).alias("l"))
-        .filter(F.col("l").isNotNull() & (F.length("t") > 0))
-        .withColumn("h", F.xxhash64("t"))
-        .orderBy("h", "l")
-        .limit(train_rows)
-        .collect()
-    )
-    return Filters.fit([r.t[:4000] for r in rows], [r.l for r in rows]).table
+    """The filters' table from at most ``train_rows`` labelled rows of at most ``TRAIN_LONGEST`` characters, drawn by a hash of the text."""
+    labelled = df.select(F.col(text).alias("t"), label(F.col(lang)).alias("l")).filter(F.col("l").isNotNull() & F.length("t").between(1, TRAIN_LONGEST))
+    rows = drawn(labelled, train_rows, ["t", "l"], df.count()).collect()
+    return Filters.fit([r.t for r in rows], [r.l for r in rows]).table
 
 
 def identify(df: DataFrame, keys: list[str], text: str, lang: str, train_rows: int = TRAIN_ROWS) -> DataFrame:

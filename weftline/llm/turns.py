@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import written
-from weftline.sources.tables import latest
+from weftline.sources.tables import drawn, latest
 
 CHUNK_SECONDS = 600
 TRAIN_ROWS = 3000
@@ -344,8 +344,9 @@ def labelled_parts(raw: DataFrame, segments: DataFrame, speakers: DataFrame, tra
         one = _rows(df.join(listed, "video_id", "left_semi"), name, order)
         rows = one if rows is None else rows.unionByName(one)
     rows = rows.join(roster, "video_id")
-    drawn = rows.select("text", "people").orderBy(F.xxhash64("video_id", "idx")).limit(train_rows).collect()
-    sample = [[shape(x, r) for _, _, x in tokens(t.text)] for t in drawn for r in [_roster(tuple((p["no"], p["name"], p["role"]) for p in t.people))]]
+    total = raw.count() + segments.count()
+    some = drawn(rows, train_rows, ["origin", "video_id", "idx"], total).select("text", "people").collect()
+    sample = [[shape(x, r) for _, _, x in tokens(t.text)] for t in some for r in [_roster(tuple((p["no"], p["name"], p["role"]) for p in t.people))]]
     model = raw.sparkSession.sparkContext.broadcast(train(sample))
     keys = ["origin", "video_id", "idx", "s"]
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
