@@ -156,7 +156,7 @@ def _street_words() -> ahocorasick.Automaton:
 
 
 WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['’\-][A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+)*"
-UPPER = r"[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]{2,})*(?![a-zß-öø-ÿ\w(])"
+UPPER = r"[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]{2,})*(?![A-Za-zÀ-ɏ0-9_(])"
 PARTICLE = r"(?:van|von|de|der|den|del|della|da|di|du|la|le|ten|ter|zu|zur|dos|bin|al)"
 TOKEN = rf"(?:{WORD}|{UPPER}|[A-ZÀ-ÖØ-Þ]\.)"
 RUN = re.compile(rf"(?<![A-Za-zÀ-ÖØ-öø-ÿ0-9_.]){TOKEN}(?:,?{SEP}(?:{PARTICLE}{SEP}){{0,2}}{TOKEN})+")
@@ -166,16 +166,16 @@ TITLE = {"dr.", "dr", "mr.", "mr", "mrs.", "mrs", "ms.", "ms", "mx.", "prof.", "
 PLAIN = {
     "ask", "as", "thanks", "merci", "gracias", "author", "the", "part", "from", "to", "cc", "by", "hinweis", "reported", "dear", "hi", "hello", "and", "for", "with", "todo", "fixme", "parcel",
     "on", "please", "see", "das", "der", "die", "el", "la", "le", "les", "los", "un", "une", "merge", "revert", "update", "release", "copyright", "contact", "danke", "an", "bitte", "am", "im",
-    "user", "name", "owner", "create", "select", "from", "where", "join", "using", "values", "insert", "into", "set", "note", "page", "project", "view", "authors", "questions", "dudas", "per", "when", "if", "old", "new",
+    "gemeldet", "signalé", "avisado", "betroffen", "cas", "caso", "reportado", "user", "name", "owner", "create", "select", "from", "where", "join", "using", "values", "insert", "into", "set", "note", "page", "project", "view", "authors", "questions", "dudas", "per", "when", "if", "old", "new",
 }
 BEFORE = re.compile(
     r"(?:(?:\bAuthor|\bCommitter|-by|\bCc|\bBcc|\bFrom|\bTo|\bowner|\bname|\bmaintainer|\bcontact|\bassignee|\breviewer|\bauthor|\buser|\bclient|\bcustomer|\bNom|\bNombre)[\"']?\s*[:=]\s*[\"'(]?"
-    r"|\b(?:by|Ask|ask|As|Thanks to|thanks to|and to|Merci à|merci à|Gracias a|gracias a|Hinweis von|Dank an|von|Rückfragen an|contact|called|named|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Herr|Frau|Mme|M\.)[ \t]"
+    r"|\b(?:by|Ask|ask|As|Thanks to|thanks to|and to|Merci à|merci à|Gracias a|gracias a|Hinweis von|Dank an|von|par|por|Cas de|Caso de|[Bb]etroffen war|[Bb]etrifft|[Nn]ote:|Rückfragen an|contact|called|named|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Herr|Frau|Mme|M\.)[ \t]"
     r"|User\([\"']|VALUES \(\d+, ['\"]|<td>|^[+\- ]?\s*\d+,)\Z",
     re.M,
 )
 AFTER = re.compile(
-    r"\s{0,2}(?:[<(][\w.+\-]+(?:@|\(at\)| ?\[at\]| at )|,[\w.+\-]+(?:@|\(at\)| \[at\])|\s?さん|\s?氏|\s?様|wrote\b|pointed out\b|for the \w+|if in doubt|over the phone|said\b|reported\b|asked\b|noted\b|pour l|por l|por el|für d|"
+    r"\s{0,2}(?:[<(][\w.+\-]+(?:@|\(at\)| ?\[at\]| at )|,[\w.+\-]+(?:@|\(at\)| \[at\])|\s?さん|\s?氏|\s?様|wrote\b|pointed out\b|for the \w+|if in doubt|over the phone|said\b|reported\b|asked\b|noted\b|,?[ ](?:t[ée]l|Tel|phone)\b|[ ,]{1,2}\(?(?:ssn|SSN|passport|passeport|Ausweis|tax|national|NI|DNI|NIE|QQ|\d{3})[^A-Za-z]{0,1}|pour l|por l|por el|für d|"
     r"</td><td>|[\"']?, ?[\"']?(?:mail|email|tel|ssn|phone)\b|[\"'], (?:ssn|[\"']))"
 )
 
@@ -341,7 +341,7 @@ class Names:
             score += 0.3 * before + 0.3 * after
             score += 0.2 * bool(LABEL.search(text, max(0, toks[i][0] - 40), toks[i][0])) + 0.2 * bool(SURE_AFTER.match(text, toks[j][1]))
             if before and not after and not (g or f) and not titled and not comma:
-                score += 0.2 * (text[toks[j][1] : toks[j][1] + 1] in ("", "\n", "\r", " ", ".", ",", '"', "'", "<"))
+                score += 0.2 * (text[toks[j][1] : toks[j][1] + 1] in ("", "\n", "\r", " ", ".", ",", ":", '"', "'", "<"))
             if (g or f) and not before and not after:
                 score += 0.15
             if found is None or score > found[1]:
