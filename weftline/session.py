@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,3 +45,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the executors, once per application.
+
+    Spark's file server hands the archive out, so executors need no path of
+    their own; one that is replaced fetches it again.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_weftline_shipped", None) == sc.applicationId:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="weftline-")
+    shutil.copytree(home, os.path.join(folder, "lib", "weftline"), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "weftline"), "zip", os.path.join(folder, "lib")))
+    sc._weftline_shipped = sc.applicationId
