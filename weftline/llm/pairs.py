@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.once import once
+
 ORDER = ["empty", "echo", "refusal", "wrong_language", "truncated"]
 
 #: What stands for a missing answer.
@@ -96,16 +98,18 @@ def _language(text: Column, counts: Column) -> Column:
 def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
     """``df`` with ``defects``: every triggered type, in the order of ``ORDER``."""
     q, a = F.col("_q"), F.col("_a")
-    work = df.withColumn("_q", _strip(F.col(question))).withColumn("_a", _strip(F.col(answer)))
+    work = once(df, _q=_strip(F.col(question)), _a=_strip(F.col(answer)))
     # What may follow the last sentence: emoji, a time mark or a reference in brackets.
     decor = r"(?U)(?:\s|[\p{So}\x{1F3FB}-\x{1F3FF}\x{FE0F}\x{200D}]|[\[(](?:see |at |vgl\. |cf\. )?(?:\d{1,2}:\d\d(?::\d\d)?|\d+ ?s|\d{1,3})[\])])+$"
-    work = work.withColumn("_core", F.regexp_replace("_a", decor, "")).withColumn("_qn", _plain(q)).withColumn("_an", _plain(a))
+    work = once(work, _core=F.regexp_replace("_a", decor, ""), _qn=_plain(q), _an=_plain(a))
     core, qn, an = F.col("_core"), F.col("_qn"), F.col("_an")
 
     bare = F.regexp_replace(F.lower(a), r"(?U)^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", "")
     slash = F.regexp_replace(F.lower(a), r"(?U)^[\s(\[<{\"'*]+|[\s)\]>}\"'*.]+$", "")
     empty = F.col(answer).isNull() | (bare == "") | bare.isin(*PLACEHOLDERS) | slash.isin(*PLACEHOLDERS)
 
+    work = once(work, _empty=empty)
+    empty = F.col("_empty")
     ql, al = F.length(qn), F.length(an)
     slack = F.greatest(F.lit(2), (ql / 10).cast("int"))
     near = (ql >= 8) & (al >= ql - slack) & (al <= ql + 30)
@@ -117,7 +121,6 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
     echo = F.when(near, close | F.contains(an, qn)).otherwise(part & q.rlike(r"(?i)" + "|".join(ASKS_FOR.values())))
     echo = F.coalesce(echo, F.lit(False))
 
-    work = work.withColumn("_low", F.regexp_replace(F.lower(core), "[’`]", "'"))
     low = F.col("_low")
     refusal = (F.length(a) <= LONGEST_REFUSAL) & low.rlike("^(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")")
 
@@ -125,9 +128,10 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
     bare_q = F.regexp_replace(q, rf"(?i)[^.!?。！？]*(?:{'|'.join(ASKS_FOR.values())})[^.!?。！？]*[.!?。！？]?", " ")
     work_q = F.when(q.rlike(asked_any), bare_q).otherwise(q)
     prose = F.regexp_replace(core, r"(?s)```.*?(?:```|$)", " ")
-    work = work.withColumn("_tq", work_q).withColumn("_ta", prose)
-    work = work.withColumn("_nq", _counts(F.col("_tq"))).withColumn("_na", _counts(F.col("_ta")))
-    work = work.withColumn("_lq", _language(F.col("_tq"), F.col("_nq"))).withColumn("_la", _language(F.col("_ta"), F.col("_na")))
+    last_line = F.element_at(F.split(core, r"\n"), -1)
+    work = once(work, _tq=work_q, _ta=prose, _low=F.regexp_replace(F.lower(core), "[’`]", "'"), _last=last_line, _words=_words(core))
+    work = once(work, _nq=_counts(F.col("_tq")), _na=_counts(F.col("_ta")))
+    work = once(work, _lq=_language(F.col("_tq"), F.col("_nq")), _la=_language(F.col("_ta"), F.col("_na")))
     lq, la = F.col("_lq"), F.col("_la")
     asked = F.lit(False)
     for k, rx in ASKS_FOR.items():
@@ -135,12 +139,10 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
     wrong = F.coalesce((lq != la) & ~asked, F.lit(False))
 
     fences = F.regexp_count(a, F.lit("```"))
-    last = F.element_at(F.split(core, r"\n"), -1)
+    last = F.col("_last")
     listed = last.rlike(r"(?U)^\s*(?:\d{1,3}[.)、．]|[-*•・])(?:\s|$)")
     item = F.regexp_replace(last, r"(?U)^\s*(?:\d{1,3}[.)、．]|[-*•・])\s*", "")
-    work = work.withColumn("_last", last)
-    last = F.col("_last")
-    words = _words(core)
+    words = F.col("_words")
     dangles = F.coalesce(F.element_at(words, -1).isin(*sorted(set(DANGLING.split()))), F.lit(False)) & core.rlike(r"(?U)[\p{L}]$")
     open_end = core.rlike(r"(?U)[,;:(\[{\-–—/、・「『（]$") | (F.regexp_count(last, F.lit(r"[(（「『\[]")) > F.regexp_count(last, F.lit(r"[)）」』\]]")))
     stops = core.rlike(r"(?U)[.!?。！？](?:[\s\"'»”’)\]）」』*_`]*)$") & ~core.rlike(r"(?:\.\.\.|…)$")
@@ -159,7 +161,7 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
 
     flag = {"empty": empty, "echo": ~empty & echo, "refusal": ~empty & F.coalesce(refusal, F.lit(False)), "wrong_language": ~empty & wrong, "truncated": ~empty & truncated}
     hits = F.filter(F.array(*[F.when(flag[k], F.lit(k)) for k in ORDER]), lambda x: x.isNotNull())
-    return work.withColumn("defects", hits).select(*df.columns, "defects")
+    return once(work, defects=hits).select(*[c for c in df.columns if c != "defects"], "defects")
 
 
 def by_id(df: DataFrame, key: str, question: str, answer: str, order: str) -> DataFrame:
