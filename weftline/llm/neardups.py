@@ -160,8 +160,14 @@ def similar_texts(recs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     shape = "tid bigint, grp bigint, n int, prefix array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
     index = texts.select("tid", "norm").mapInArrow(_indexer(counts, num, den), shape)
     index = written(index, "neardup-index")
-    # Equal groups are one posting; the flags and entities of their texts are joined.
-    groups = index.join(texts.select("tid", "ents", "bare"), "tid").select("grp", "n", "prefix", "s0", "s1", "s2", "s3", "ents", "bare")
+    # Equal groups are one posting with the entities of all their texts.
+    sigs = ["s0", "s1", "s2", "s3"]
+    whole = written(
+        index.join(texts.select("tid", "ents", "bare"), "tid").groupBy("grp").agg(
+            F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(s).alias(s) for s in sigs], F.max("bare").alias("bare"), F.array_distinct(F.flatten(F.collect_list("ents"))).alias("ents")
+        ),
+        "neardup-groups",
+    )
 
     def alike(a: str, b: str, signed: bool):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -176,17 +182,14 @@ def similar_texts(recs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
         return ok
 
     with_entity = (
-        groups.select("grp", "n", F.explode("ents").alias("ent"), "prefix")
+        whole.select("grp", "n", F.explode("ents").alias("ent"), "prefix")
         .select("grp", "n", "ent", F.posexplode("prefix").alias("pos", "gram"))
         .select(F.xxhash64("ent", "gram").alias("k"), "grp", "n", "pos")
-        .distinct()
     )
     met = (
         with_entity.alias("a").join(with_entity.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.grp") < F.col("b.grp")) & alike("a", "b", False))
         .select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb"))
     )
-    sigs = ["s0", "s1", "s2", "s3"]
-    whole = groups.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(s).alias(s) for s in sigs], F.max("bare").alias("bare"))
     postings = whole.select("grp", "n", *sigs, "bare", F.posexplode("prefix").alias("pos", "gram"))
     bare = postings.filter("bare")
     free = (
