@@ -112,14 +112,13 @@ def test_pieces_against_greedy(limit, overlap):
 def test_split_records(spark):
     rows = [("v", 0, "a. " * 200, "x"), ("v", 0, "a. " * 200, "x"), ("v", 1, "  " + "b" * 300 + "　", "x"), ("v", 2, None, "x"), ("v", 3, "", "x"), (None, 4, "c" * 301, "x")]
     df = spark.createDataFrame(rows, "video_id string, idx int, text string, piece string")
-    assert sorted(((r.video_id, r.idx) for r in pieces.oversized(df, ["video_id", "idx"], "text").collect()), key=str) == [(None, 4), ("v", 0)] or True
     got = {(r.video_id, r.idx) for r in pieces.oversized(df, ["video_id", "idx"], "text").collect()}
     assert got == {("v", 0), (None, 4)}
     n = {}
     for r in pieces.split(df, ["video_id", "idx"], "text").collect():
         n[(r.video_id, r.idx)] = n.get((r.video_id, r.idx), 0) + 1
         assert len(r.piece) <= 300
-    assert n == {("v", 0): 3, ("v", 1): 1, (None, 4): 2} or n[("v", 1)] == 1
+    assert set(n) == {("v", 0), ("v", 1), (None, 4)} and n[("v", 0)] >= 2 and n[("v", 1)] == 1 and n[(None, 4)] == 2
     assert pieces.split(df.limit(0), ["video_id", "idx"], "text").count() == 0
     with pytest.raises(ValueError):
         pieces.split(df, ["video_id"], "text", 10, 10)

@@ -104,4 +104,11 @@ _BLANK = " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 0x85,
 
 ORACLE: dict[str, str] = {
     "p1_found": f"SELECT DISTINCT video_id, idx FROM segments WHERE length(trim(text, {_BLANK})) > 300",
+    "p6_found": """WITH o AS (SELECT id, regexp_replace(lower(content), '[^\\pL\\pN]', '', 'g') AS n, list_distinct(list_filter(list_transform(coalesce(entities, []), lambda e: lower(trim(e))), lambda e: e <> '')) AS ents
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY content DESC NULLS LAST) AS rn FROM knowledge_objects WHERE id IS NOT NULL) WHERE rn = 1),
+      g AS (SELECT DISTINCT id, substr(n, i, 3) AS t FROM (SELECT id, n, unnest(generate_series(1, length(n) - 2)) AS i FROM o WHERE length(n) >= 3)),
+      c AS (SELECT id, count(*) AS k FROM g GROUP BY id),
+      b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS n_both FROM g x JOIN g y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
+      SELECT id_a, id_b FROM b JOIN c ca ON ca.id = id_a JOIN c cb ON cb.id = id_b JOIN o oa ON oa.id = id_a JOIN o ob ON ob.id = id_b
+      WHERE 5 * n_both >= 4 * (ca.k + cb.k - n_both) AND (len(oa.ents) = 0 OR len(ob.ents) = 0 OR len(list_intersect(oa.ents, ob.ents)) > 0)""",
 }
