@@ -43,8 +43,7 @@ def parse_objects(df: DataFrame, video: str, raw: str) -> DataFrame:
     strict = F.try_parse_json(bare)
     sliced = F.try_parse_json(F.regexp_extract(bare, r"(?s)\[.*\]", 0))
     base = df.select(F.col(video).alias("video_id"), F.coalesce(strict, sliced).alias("v")).filter(F.schema_of_variant("v").startswith("ARRAY"))
-    base.createOrReplaceTempView("_weftline_variant")
-    items = df.sparkSession.sql("SELECT video_id, t.pos, t.value FROM _weftline_variant, LATERAL variant_explode(v) t")
+    items = base.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select("video_id", "pos", "value")
     value = F.col("value")
     content = T.strip(F.try_variant_get(value, "$.content", "string"))
     return items.filter(F.schema_of_variant(value).startswith("OBJECT")).select(
