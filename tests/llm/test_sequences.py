@@ -181,3 +181,24 @@ def test_large_classes_of_copies_are_stars(spark):
     got = sorted((r.id_a, r.id_b) for r in neardups.pairs(df, full=3).collect())
     assert ("c0", "c9") in got and ("c1", "c2") not in got and ("c0", "f") in got
     assert len(got) == 11
+
+
+def test_components_and_groups(spark):
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)] + [(f"p{k:02d}", f"p{k + 1:02d}") for k in range(30)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.node: r.root for r in neardups.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    rows = [("c", "the second version makes it less damp than before", ["e"]), ("a", "the second version makes it less damp than beforex", ["e"]), ("b", "nothing alike here at all", ["e"]), ("d", None, None), (None, "x", None)]
+    df = spark.createDataFrame(rows, "id string, content string, entities array<string>")
+    assert sorted(tuple(r) for r in neardups.groups(df).collect()) == [("a", "a", 1), ("b", "b", 0), ("c", "a", 1), ("d", "d", 0)]

@@ -54,6 +54,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardups.pairs(table(spark, folder, "knowledge_objects")).select("id_a", "id_b")
 
 
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardups.groups(table(spark, folder, "knowledge_objects"))
+
+
 def _transcripts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, folder, "raw_segments"), table(spark, folder, "segments"), table(spark, folder, "speakers")
 
@@ -92,6 +96,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_languages": p4_languages,
     "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_turns": p7_turns,
     "p8_ids": p8_ids,

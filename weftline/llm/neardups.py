@@ -221,3 +221,38 @@ def pairs(df: DataFrame, key: str = "id", text: str = "content", entities: str =
     equal = a.join(b, (F.col("norm_a") == F.col("norm_b")) & (F.col("x") < F.col("y")) & share).select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), F.lit(1.0).alias("similarity"))
     star = recs.join(large.select("norm", "ents", "rep"), ["norm", "ents"]).filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
     return other.unionByName(equal).unionByName(star)
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """``node, root`` of each node of undirected ``edges (a, b)``; the root is the component's smallest node.
+
+    Alternating stars: each node links its greater neighbours, then its smaller
+    ones, to the least node it knows. Every step is a minimum per node and a
+    join, so no component is ever gathered; each round is written to the shared
+    folder, and the stars are reached after about log n rounds.
+    """
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
+    before = None
+    for _ in range(rounds):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
+        state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+        if state == before:
+            roots = e.select(F.col("v").alias("node")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+        before = state
+    raise RuntimeError(f"components not found in {rounds} rounds")
+
+
+def groups(df: DataFrame, key: str = "id", text: str = "content", entities: str = "entities", num: int = 4, den: int = 5) -> DataFrame:
+    """``id, group_id, n_links``: every record with the smallest id it is linked with, directly or through others, and its number of links in ``pairs``."""
+    links = written(pairs(df, key, text, entities, num, den).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "neardup-links")
+    roots = components(links)
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    ids = df.select(F.col(key).alias("id")).filter(F.col("id").isNotNull()).distinct()
+    found = roots.join(degree, "node").select(F.col("node").alias("id"), "root", "n_links")
+    return ids.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
