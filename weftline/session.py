@@ -57,7 +57,12 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_weftline_shipped", None) == sc.applicationId:
         return
     home = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="weftline-")
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if shared.startswith("/"):
+        folder = os.path.join(shared, f"weftline-{uuid.uuid4().hex}")
+        os.makedirs(folder)
+    else:
+        folder = tempfile.mkdtemp(prefix="weftline-")
     shutil.copytree(home, os.path.join(folder, "lib", "weftline"), ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "weftline"), "zip", os.path.join(folder, "lib")))
     sc._weftline_shipped = sc.applicationId
