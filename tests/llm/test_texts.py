@@ -193,6 +193,19 @@ def test_pairs(spark):
     assert {k: got[k] for k in got if got[k] != PAIRS[k][2]} == {}
 
 
+LONG = "What happens when the training split becomes slow?"
+REPEATED = [
+    (LONG, f"{LONG} {LONG}", ["echo"]), (LONG, f"{LONG}\n{LONG}\n{LONG}", ["echo"]), (LONG, f"{LONG} {LONG.replace('happens', 'hapens')}", ["echo"]),
+    (f"{LONG} Please answer in German.", f"{LONG} {LONG}", ["echo"]), (LONG, f"{LONG} It takes twice as long, and the speaker waits for the second run.", []),
+]
+
+
+def test_pairs_repeated_question(spark):
+    df = spark.createDataFrame([(k, q, a) for k, (q, a, _) in enumerate(REPEATED)], "k int, q string, a string")
+    got = {r.k: r.defects for r in pairs.defects(df, "q", "a").collect()}
+    assert {k: got[k] for k in got if got[k] != REPEATED[k][2]} == {}
+
+
 def test_pairs_latest_record(spark):
     rows = [(1, "What is it?", None, 1), (1, "What is it?", "It is a pump.", 2), (2, "What is it?", "It is a pump.", 1), (2, "What is it?", "null", 2), (2, "What is it?", "null", 2)]
     df = spark.createDataFrame(rows, "rid bigint, q string, a string, at int")

@@ -108,8 +108,13 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
     slash = F.regexp_replace(F.lower(a), r"(?U)^[\s(\[<{\"'*]+|[\s)\]>}\"'*.]+$", "")
     empty = F.col(answer).isNull() | (bare == "") | bare.isin(*PLACEHOLDERS) | slash.isin(*PLACEHOLDERS)
 
-    work = once(work, _empty=empty)
-    empty = F.col("_empty")
+    # What a text leaves of an answer that holds it, all its copies taken out.
+    asked_any = "(?i)" + "|".join(ASKS_FOR.values())
+    bare_q = F.regexp_replace(q, rf"(?i)[^.!?。！？]*(?:{'|'.join(ASKS_FOR.values())})[^.!?。！？]*[.!?。！？]?", " ")
+    left = lambda text: F.when((F.length(text) >= 8) & F.contains(an, text), F.replace(an, text, F.lit("")))
+    work = once(work, _empty=empty, _bare=F.when(q.rlike(asked_any), _plain(bare_q)))
+    work = once(work, _rest=F.coalesce(left(qn), left(F.col("_bare"))))
+    empty, rest = F.col("_empty"), F.col("_rest")
     ql, al = F.length(qn), F.length(an)
     slack = F.greatest(F.lit(2), (ql / 10).cast("int"))
     near = (ql >= 8) & (al >= ql - slack) & (al <= ql + 30)
@@ -118,14 +123,14 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
     close = (F.levenshtein(qn, an) <= slack) | (F.levenshtein(qn, tail) <= slack) | ((al <= ql + 12) & (F.levenshtein(qn, head) <= slack))
     # A question may carry a sentence that asks for a language; copying the rest is an echo too.
     part = (al >= 8) & (al < ql) & (al * 10 >= ql * 6) & F.contains(qn, an)
-    echo = F.when(near, close | F.contains(an, qn)).otherwise(part & q.rlike(r"(?i)" + "|".join(ASKS_FOR.values())))
-    echo = F.coalesce(echo, F.lit(False))
+    echo = F.when(near, close | F.contains(an, qn)).otherwise(part & q.rlike(asked_any))
+    # So is the question said again and again, however long that gets.
+    again = (F.length(rest) <= slack) | (F.levenshtein(qn, rest) <= slack)
+    echo = F.coalesce(echo, F.lit(False)) | F.coalesce(again, F.lit(False))
 
     low = F.col("_low")
     refusal = (F.length(a) <= LONGEST_REFUSAL) & low.rlike("^(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")")
 
-    asked_any = "(?i)" + "|".join(ASKS_FOR.values())
-    bare_q = F.regexp_replace(q, rf"(?i)[^.!?。！？]*(?:{'|'.join(ASKS_FOR.values())})[^.!?。！？]*[.!?。！？]?", " ")
     work_q = F.when(q.rlike(asked_any), bare_q).otherwise(q)
     prose = F.regexp_replace(core, r"(?s)```.*?(?:```|$)", " ")
     last_line = F.element_at(F.split(core, r"\n"), -1)
