@@ -48,6 +48,28 @@ def test_bm25_formula(spark):
     assert got.keys() == exp.keys() and all(got[k] == pytest.approx(exp[k]) for k in exp)
 
 
+def test_searches_ask_every_twentieth_request(spark, tmp_path, monkeypatch):
+    from weftline.plans import library
+
+    ko = [(f"v_{i:02d}", "risk" if i % 2 else "claim", ["pump wet", "the pump the", "hose and pump", "a kiln", "kiln b c pump", None][i % 6], ["Pump"], 0.5, "v", float(i)) for i in range(40)]
+    spark.createDataFrame(ko, "id string, ktype string, content string, entities array<string>, confidence double, video_id string, ts_sec double").write.parquet(str(tmp_path / "knowledge_objects.parquet"))
+    log = [(20, "old kiln", 1), (20, "the wet pump pump", 2), (40, "Kiln a", 1), (60, " ", 1), (80, None, 1), (100, "nothing here", 1), (41, "hose", 1)]
+    spark.createDataFrame([(k, None, t, "x", at) for k, t, at in log], "request_id bigint, video_id string, query_text string, answer string, asked_at int").write.parquet(str(tmp_path / "query_log.parquet"))
+    asked = spark.createDataFrame([(20, "the wet pump pump"), (40, "Kiln a")], "qid bigint, q string")
+    docs = spark.createDataFrame([(r[0], r[2]) for r in ko if r[2]], "id string, content string")
+    full = retrieval.bm25(docs, "id", "content", asked, "qid", "q").withColumn("score", F.round("score", 8))
+    exp = {(r.qid, r.id, r["rank"]) for r in retrieval.top_k(full, ["qid"], [F.desc("score"), F.col("id")], 20).collect()}
+    dense = docs.crossJoin(asked).select("qid", "id", F.round(retrieval.density(F.col("content"), T.words(F.col("q"))), 8).alias("s")).filter("s > 0")
+    shared = {(r.qid, r.id, r["rank"]) for r in retrieval.top_k(dense, ["qid"], [F.desc("s"), F.col("id")], 30).collect()}
+    for size in (16_384, 7):
+        monkeypatch.setattr(retrieval, "BLOCK_DOCS", size)
+        monkeypatch.setattr(retrieval, "BLOCK_QUERIES", -(-size // 7))
+        assert {(r.qid, r.id, r["rank"]) for r in library.bm25_top(spark, str(tmp_path)).collect()} == exp
+        assert {(r.qid, r.id, r["rank"]) for r in library._by_overlap(spark, str(tmp_path)).collect()} == shared
+    for name in ("fused_top", "ranked_objects", "budgeted_objects", "briefs"):
+        assert {r.qid for r in library.QUERIES[name](spark, str(tmp_path)).select("qid").collect()} == {20, 40}, name
+
+
 def test_nearest_blocks_and_zero_vectors(spark, monkeypatch):
     rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(30)] + [(99, [0.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "id int, e array<double>")

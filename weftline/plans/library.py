@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -11,7 +11,7 @@ from weftline.operators import cache, cleaner, dedup, folds, knowledge, retrieva
 from weftline.sources import captions
 from weftline.sources.tables import latest, table
 
-#: The stated questions of the search queries.
+#: Fixed questions: what texts are compressed and attended for, and what the SQL of the searches still asks.
 QUESTIONS = [
     (1, "how many watts does the canvas tarp need"),
     (2, "what is the difference between the drum sander and the kiln shelf"),
@@ -27,8 +27,10 @@ def _words_sql(c: str) -> str:
     return f"list_filter(string_split_regex(lower(coalesce({c}, '')), '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{0B}}]+'), lambda x: x <> '')"
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "qid int, q string")
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated queries of the searches: the requests whose id is divisible by 20, without those of null or blank text."""
+    asked = _log(spark, folder).filter((F.col("request_id") % 20 == 0) & (T.word_count(F.col("query_text")) > 0))
+    return asked.select(F.col("request_id").alias("qid"), F.col("query_text").alias("q"))
 
 
 def _objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -401,14 +403,14 @@ _BM25_SQL = f"""{_OBJECTS_SQL}, {_QUESTION_SQL}, d AS (SELECT id, {_words_sql('c
       FROM qt JOIN idf USING (t) JOIN tf USING (t) JOIN d USING (id), m, st GROUP BY qid, tf.id)"""
 
 
-def _bm25(spark, folder) -> DataFrame:
+def _bm25(spark, folder, k: int) -> DataFrame:
     docs = _objects(spark, folder).filter("content is not null")
-    return retrieval.bm25(docs, "id", "content", _questions(spark), "qid", "q").withColumn("score", F.round("score", 8))
+    return retrieval.bm25_best(docs, "id", "content", _questions(spark, folder), "qid", "q", k)
 
 
 @query(f"WITH {_BM25_SQL} SELECT qid, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 20")
 def bm25_top(spark, folder):
-    return retrieval.top_k(_bm25(spark, folder), ["qid"], [F.desc("score"), F.col("id")], 20).withColumn("score", F.round("score", 5))
+    return _bm25(spark, folder, 20).withColumn("score", F.round("score", 5))
 
 
 _VEC_SQL = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT vec_id AS qid, e AS qe, label AS ql FROM v WHERE vec_id % 20 = 0)"""
@@ -442,8 +444,7 @@ def nearest_then_semi(spark, folder):
 #: Another ranking of the same objects, for fusion: confident objects that share words with the question.
 def _by_overlap(spark, folder) -> DataFrame:
     o = _objects(spark, folder).filter("content is not null")
-    hits = o.join(F.broadcast(_questions(spark)), F.lit(True)).select("qid", "id", F.round(retrieval.density(F.col("content"), T.words(F.col("q"))), 8).alias("s")).filter("s > 0")  # four stated questions
-    return retrieval.top_k(hits, ["qid"], [F.desc("s"), F.col("id")], 30)
+    return retrieval.density_best(o, "id", "content", _questions(spark, folder), "qid", "q", 30)
 
 
 @query(
@@ -454,8 +455,7 @@ def _by_overlap(spark, folder) -> DataFrame:
     SELECT qid, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, src, r, id) AS rank FROM g) WHERE rank <= 15"""
 )
 def fused_top(spark, folder):
-    b = retrieval.top_k(_bm25(spark, folder), ["qid"], [F.desc("score"), F.col("id")], 30)
-    return retrieval.fuse([(_by_overlap(spark, folder), "rank", 0.6), (b, "rank", 0.4)], "qid", "id").withColumn("score", F.round("score", 9))
+    return retrieval.fuse([(_by_overlap(spark, folder), "rank", 0.6), (_bm25(spark, folder, 30), "rank", 0.4)], "qid", "id").withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -511,16 +511,15 @@ def question_intents(spark, folder):
 
 
 def _ranked(spark, folder) -> DataFrame:
-    """Every object ranked for each stated question: lexical relevance in place of a model's similarity."""
-    q = _questions(spark)
-    best = _bm25(spark, folder)
-    top = best.groupBy("qid").agg(F.max("score").alias("most"))
-    sem = best.join(F.broadcast(top), "qid").select("qid", "id", (F.col("score") / F.col("most")).alias("semantic"))  # a row per question
+    """The best objects ranked for each stated question: lexical relevance in place of a model's similarity."""
+    q = _questions(spark, folder)
+    best = _bm25(spark, folder, 40)
+    most = F.max("score").over(Window.partitionBy("qid"))
+    cand = best.select("qid", "id", (F.col("score") / most).alias("semantic"), F.col("rank").alias("cand"))
     types = knowledge.intents(q, "qid", "q").groupBy("qid").agg(F.collect_set("ktype").alias("types"))
-    cand = retrieval.top_k(sem, ["qid"], [F.desc(F.round("semantic", 8)), F.col("id")], 40, "cand")
     o = _objects(spark, folder)
     total = o.groupBy("video_id").agg(F.max("ts_sec").alias("total"))
-    rows = cand.join(o, "id").join(total, "video_id").join(F.broadcast(q), "qid").join(F.broadcast(types), "qid")
+    rows = cand.join(o, "id").join(total, "video_id").join(q, "qid").join(types, "qid")
     prior = F.array_contains("types", F.col("ktype"))
     score = knowledge.object_score(F.col("semantic"), F.coalesce(prior, F.lit(False)), F.col("confidence"), F.col("entities"), T.words(F.col("q")), F.col("ts_sec"), F.coalesce("total", F.lit(0.0)))
     scored = rows.withColumn("score", F.round(score, 8)).withColumn("is_priority", F.coalesce(prior, F.lit(False)))
