@@ -70,6 +70,17 @@ def test_searches_ask_every_twentieth_request(spark, tmp_path, monkeypatch):
         assert {r.qid for r in library.QUERIES[name](spark, str(tmp_path)).select("qid").collect()} == {20, 40}, name
 
 
+def _stored(spark, folder, rows):
+    spark.createDataFrame(rows, "id string, ktype string, content string, entities array<string>, confidence double, video_id string, ts_sec double, lang string").write.parquet(str(folder / "knowledge_objects.parquet"))
+
+
+def test_objects_of_types_of_any_video(spark, tmp_path):
+    from weftline.plans import library
+
+    _stored(spark, tmp_path, [(f"{v}_0", t, "x", [], 0.5, v, 1.0, "en") for v, t in (("abc", "risk"), ("Abc", "Metric"), ("0bc", "risk"), ("-bc", "metric"), ("_bc", "risk"), ("bcd", "claim"))])
+    assert {r.id for r in library.objects_of_types(spark, str(tmp_path)).collect()} == {"abc_0", "Abc_0", "0bc_0", "-bc_0", "_bc_0"}
+
+
 def test_nearest_blocks_and_zero_vectors(spark, monkeypatch):
     rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(30)] + [(99, [0.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "id int, e array<double>")

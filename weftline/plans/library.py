@@ -165,7 +165,7 @@ def objects_of_video(spark, folder):
 
 @query(f"WITH {_OBJECTS_SQL} SELECT id, content FROM objects WHERE ktype IN ('risk', 'metric') AND video_id >= 'a'")
 def objects_of_types(spark, folder):
-    return _objects(spark, folder).filter(F.col("ktype").isin("risk", "metric") & (F.col("video_id") >= "a")).select("id", "content")
+    return _objects(spark, folder).filter(F.col("ktype").isin("risk", "metric")).select("id", "content")
 
 
 @query(f"WITH {_OBJECTS_SQL}, {_TYPES_SQL} SELECT video_id, string_agg(o.ktype, ',' ORDER BY ord) AS types FROM (SELECT DISTINCT video_id, ktype FROM objects) o JOIN dim USING (ktype) GROUP BY video_id")
