@@ -81,6 +81,14 @@ def test_objects_of_types_of_any_video(spark, tmp_path):
     assert {r.id for r in library.objects_of_types(spark, str(tmp_path)).collect()} == {"abc_0", "Abc_0", "0bc_0", "-bc_0", "_bc_0"}
 
 
+def test_objects_of_all_asked_videos(spark, tmp_path):
+    from weftline.plans import library
+
+    _stored(spark, tmp_path, [(f"{v}_0", "risk", "x", [], 0.5, v, 1.0, "en") for v in ("a", "b", "c")])
+    spark.createDataFrame([(1, "b"), (2, "c"), (3, "c"), (4, None)], "request_id bigint, video_id string").write.parquet(str(tmp_path / "query_log.parquet"))
+    assert sorted(r.id for r in library.objects_of_video(spark, str(tmp_path)).collect()) == ["b_0", "c_0"]
+
+
 def test_nearest_blocks_and_zero_vectors(spark, monkeypatch):
     rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(30)] + [(99, [0.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "id int, e array<double>")

@@ -159,8 +159,8 @@ def type_counts(spark, folder):
 
 @query(f"WITH {_OBJECTS_SQL} SELECT id, ktype, content, entities, confidence, video_id, ts_sec FROM objects WHERE video_id = (SELECT min(video_id) FROM knowledge_objects)")
 def objects_of_video(spark, folder):
-    first = table(spark, folder, "knowledge_objects").agg(F.min("video_id").alias("video_id"))
-    return _objects(spark, folder).join(F.broadcast(first), "video_id", "left_semi").select("id", "ktype", "content", "entities", "confidence", "video_id", "ts_sec")  # one row
+    asked = table(spark, folder, "query_log").select("video_id").distinct()
+    return _objects(spark, folder).join(asked, "video_id", "left_semi").select("id", "ktype", "content", "entities", "confidence", "video_id", "ts_sec")
 
 
 @query(f"WITH {_OBJECTS_SQL} SELECT id, content FROM objects WHERE ktype IN ('risk', 'metric') AND video_id >= 'a'")
