@@ -89,6 +89,13 @@ def test_objects_of_all_asked_videos(spark, tmp_path):
     assert sorted(r.id for r in library.objects_of_video(spark, str(tmp_path)).collect()) == ["b_0", "c_0"]
 
 
+def test_entities_with_null_elements(spark, tmp_path):
+    from weftline.plans import library
+
+    _stored(spark, tmp_path, [("a", "risk", "x", ["Pump", None], 0.5, "v", 1.0, "en"), ("b", "risk", "x", [None], 0.5, "v", 1.0, "en"), ("c", "risk", "x", None, 0.5, "v", 1.0, "en")])
+    assert sorted(tuple(r) for r in library.entities_json(spark, str(tmp_path)).collect()) == [("a", '["Pump",null]', 2), ("b", "[null]", 1), ("c", "[]", 0)]
+
+
 def test_nearest_blocks_and_zero_vectors(spark, monkeypatch):
     rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(30)] + [(99, [0.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "id int, e array<double>")

@@ -202,7 +202,7 @@ def embedded_texts(spark, folder):
 def entities_json(spark, folder):
     e = F.coalesce("entities", F.array().cast("array<string>"))
     j = F.to_json(e)
-    return _objects(spark, folder).filter(~F.exists(e, lambda x: x.isNull())).select("id", j.alias("as_json"), F.size(F.from_json(j, "array<string>")).alias("n_entities"))
+    return _objects(spark, folder).select("id", j.alias("as_json"), F.size(F.from_json(j, "array<string>")).alias("n_entities"))
 
 
 @query(
