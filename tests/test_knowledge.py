@@ -96,6 +96,18 @@ def test_entities_with_null_elements(spark, tmp_path):
     assert sorted(tuple(r) for r in library.entities_json(spark, str(tmp_path)).collect()) == [("a", '["Pump",null]', 2), ("b", "[null]", 1), ("c", "[]", 0)]
 
 
+def test_attention_of_every_chunk(spark, tmp_path, monkeypatch):
+    from weftline.plans import library
+
+    rows = [("v", 0, "Pump one.", 40.0, 60.0, 0.2), ("v", 1, "Pump two.", 90.0, 100.0, 0.2), ("v", 2, "Pump three.", None, 50.0, 0.5), ("v", 3, "Pump four.", 0.0, 10.0, None)]
+    spark.createDataFrame(rows, "video_id string, idx int, text string, start_sec double, end_sec double, noise_score double").write.parquet(str(tmp_path / "cleaned_segments.parquet"))
+    got = {r.idx: r.attention for r in library.attention_scores(spark, str(tmp_path)).collect()}
+    assert got == {0: 0.8, 1: 0.98, 2: 0.5, 3: 0.18}
+    assert {r.idx for r in library.compressed_to_budget(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+    monkeypatch.setattr(library, "BUDGET", 2)
+    assert [r.idx for r in library.compressed_to_budget(spark, str(tmp_path)).collect()] == [1]
+
+
 def test_nearest_blocks_and_zero_vectors(spark, monkeypatch):
     rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(30)] + [(99, [0.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "id int, e array<double>")

@@ -180,8 +180,8 @@ def density(text: Column, query_terms: Column) -> Column:
 
 
 def position_score(start: Column, end: Column, total: Column) -> Column:
-    """0.4 times the distance of the middle from the half of the whole; 0 if the whole is not positive."""
-    return F.when(total > 0, F.abs((start + end) / 2 / total - 0.5) * 0.4).otherwise(F.lit(0.0))
+    """0.4 times the distance of the middle from the half of the whole; 0 if the whole is not positive or a bound is null."""
+    return F.coalesce(F.when(total > 0, F.abs((start + end) / 2 / total - 0.5) * 0.4), F.lit(0.0))
 
 
 def attention(relevance: Column, text: Column, query_terms: Column, start: Column, end: Column, total: Column) -> Column:

@@ -458,6 +458,15 @@ def fused_top(spark, folder):
     return retrieval.fuse([(_by_overlap(spark, folder), "rank", 0.6), (_bm25(spark, folder, 30), "rank", 0.4)], "qid", "id").withColumn("score", F.round("score", 9))
 
 
+def _attended(spark, folder) -> DataFrame:
+    """Every chunk with its attention ``score``; an unknown noise score counts as full noise, an unknown bound as the middle."""
+    c = table(spark, folder, "cleaned_segments").select("video_id", "idx", "text", "start_sec", "end_sec", "noise_score").distinct()
+    total = c.groupBy("video_id").agg(F.max("end_sec").alias("total"))
+    relevance = 1 - F.coalesce("noise_score", F.lit(1.0))
+    score = retrieval.attention(relevance, F.col("text"), T.words(F.lit(QUESTIONS[1][1])), F.col("start_sec"), F.col("end_sec"), F.col("total"))
+    return c.join(total, "video_id", "left").withColumn("score", score)
+
+
 @query(
     f"""WITH {_QUESTION_SQL}, c AS (SELECT DISTINCT video_id, idx, {_words_sql('text')} AS w, start_sec, end_sec, noise_score FROM cleaned_segments WHERE start_sec IS NOT NULL AND end_sec IS NOT NULL AND noise_score IS NOT NULL),
     t AS (SELECT video_id, max(end_sec) AS total FROM c GROUP BY video_id)
@@ -465,18 +474,14 @@ def fused_top(spark, folder):
     FROM c JOIN t USING (video_id)"""
 )
 def attention_scores(spark, folder):
-    c = table(spark, folder, "cleaned_segments").filter("start_sec is not null and end_sec is not null and noise_score is not null").select("video_id", "idx", "text", "start_sec", "end_sec", "noise_score").distinct()
-    total = c.groupBy("video_id").agg(F.max("end_sec").alias("total"))
-    score = retrieval.attention(1 - F.col("noise_score"), F.col("text"), T.words(F.lit(QUESTIONS[1][1])), F.col("start_sec"), F.col("end_sec"), F.col("total"))
-    return c.join(total, "video_id").select("video_id", "idx", F.round(score, 6).alias("attention"))
+    return _attended(spark, folder).select("video_id", "idx", F.round("score", 6).alias("attention"))
 
 
 @query()
 def compressed_to_budget(spark, folder):
     """The chunks of each video, best attention first, compressed and cut to the budget."""
-    c = table(spark, folder, "cleaned_segments").filter("start_sec is not null and end_sec is not null and noise_score is not null and text is not null").select("video_id", "idx", "text", "start_sec", "end_sec", "noise_score").distinct()
     terms = T.words(F.lit(QUESTIONS[1][1]))
-    score = F.round(retrieval.attention(1 - F.col("noise_score"), F.col("text"), terms, F.col("start_sec"), F.col("end_sec"), F.lit(0.0)), 9)
+    c, score = _attended(spark, folder).filter("text is not null"), F.round("score", 9)
     text = T.dense_sentences(T.compress(F.col("text")), terms)
     rows = c.select("video_id", "idx", (-score).alias("minus"), text.alias("text"))
     return folds.compress_to_budget(rows, ["video_id"], ["minus", "idx"], "text", BUDGET).select("video_id", "idx", "text", "tokens")
