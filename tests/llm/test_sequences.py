@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import languages, neardups, runs, turns
 
@@ -183,6 +186,50 @@ def test_large_classes_of_copies_are_stars(spark):
     assert len(got) == 11
 
 
+def test_classes_and_link_counts(spark):
+    text = "exactly the same text in all of them"
+    rows = [(f"c{k}", text, ["e"]) for k in range(10)] + [("d", text + "!!", ["e"]), ("f", text + "x", ["e", "g"]), ("h", text + "y", ["other"]), ("n", None, ["e"])]
+    df = spark.createDataFrame(rows, "id string, content string, entities array<string>")
+    got = {r.id: (r.class_id, r.class_size) for r in neardups.classes(df).collect()}
+    assert got == {**{f"c{k}": ("c0", 11) for k in range(10)}, "d": ("c0", 11), "f": ("f", 1), "h": ("h", 1)}
+    for full in (64, 3):  # links are counted alike below and above the size from which pairs are no longer written out
+        counts = {r.id: (r.group_id, r.n_links) for r in neardups.groups(df, full=full).collect()}
+        assert counts == {**{k: ("c0", 11) for k in ["d", *[f"c{k}" for k in range(10)]]}, "f": ("c0", 11), "h": ("h", 0), "n": ("n", 0)}
+
+
+def test_frequent_trigrams_and_entities_are_split(spark, monkeypatch):
+    """Grids of cells, many buckets and entities split by trigram find the same pairs."""
+    rng = random.Random(3)
+    base = ["we moved the drum sander next to the kiln shelf because it was loud", "the second version makes the fuse box less damp than before", "the second version makes the fuse box less dump than before"]
+    rows = [(f"id{k:03d}", "".join(rng.choice("qz") if rng.random() < 0.02 else c for c in rng.choice(base)), rng.choice([None, ["ax"], ["ax", "b"], ["b"]])) for k in range(90)]
+    df = spark.createDataFrame(rows, "id string, content string, entities array<string>")
+    cls = neardups.class_rows(neardups.records(df, "id", "content", "entities")).select("t1", "norm", F.transform("ents", lambda e: F.xxhash64(e)).alias("hashes")).collect()
+    norms, tid = [r.norm for r in cls], np.array([r.t1 for r in cls])
+    sizes, ents = np.array([len(r.hashes) for r in cls]), np.array([h for r in cls for h in r.hashes], dtype=np.int64)
+    grams = np.bincount((neardups.distinct_grams(norms)[1] >> np.uint64(35)).astype(np.int64), minlength=1 << 17)
+    seen = np.bincount(neardups._entity_bucket(ents), minlength=1 << 17)
+    found = []
+    for hot, block, buckets in ((1024, 65536, 1), (5, 65536, 3), (5, 7, 50)):
+        monkeypatch.setattr(neardups, "HOT", hot)
+        monkeypatch.setattr(neardups, "BLOCK", block)
+        packed = neardups.Index(grams, seen, int((sizes == 0).sum()), buckets, 4, 5).pack(norms, tid, sizes, ents)
+        pairs = set()
+        for some in packed.values():
+            heads = [h for _, h in some if h]
+            got = neardups._joiner(4, 5)(pa.table({"posts": [b"".join(p for p, _ in some)], "heads": [b"".join(heads)], "cuts": [[len(h) for h in heads]]}))
+            pairs |= set(zip(got["ta"].to_pylist(), got["tb"].to_pylist(), strict=True))
+        found.append(pairs)
+    exact = {(min(a, b), max(a, b)) for a, b in ((x, y) for x in tid.tolist() for y in tid.tolist() if x < y) if _alike(norms[tid.tolist().index(a)], norms[tid.tolist().index(b)])}
+    meet = {t: set(r.hashes) for t, r in zip(tid.tolist(), cls, strict=True)}
+    exact = {(a, b) for a, b in exact if not meet[a] or not meet[b] or meet[a] & meet[b]}
+    assert exact and all(exact <= f for f in found)
+
+
+def _alike(a, b):
+    x, y = ({t[k : k + 3] for k in range(len(t) - 2)} for t in (a, b))
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
 def test_components_and_groups(spark):
     rng = random.Random(4)
     edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)] + [(f"p{k:02d}", f"p{k + 1:02d}") for k in range(30)]

@@ -58,6 +58,10 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardups.groups(table(spark, folder, "knowledge_objects"))
 
 
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return neardups.classes(table(spark, folder, "knowledge_objects"))
+
+
 def _transcripts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, folder, "raw_segments"), table(spark, folder, "segments"), table(spark, folder, "speakers")
 
@@ -97,6 +101,7 @@ QUERIES = {
     "p4_languages": p4_languages,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
+    "p6_classes": p6_classes,
     "p7_found": p7_found,
     "p7_turns": p7_turns,
     "p8_ids": p8_ids,
@@ -107,13 +112,20 @@ QUERIES = {
 #: White space as a DuckDB string, for ``trim``.
 _BLANK = " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
+_RECORDS = """o AS (SELECT id, regexp_replace(lower(content), '[^\\pL\\pN]', '', 'g') AS n, list_distinct(list_filter(list_transform(coalesce(entities, []), lambda e: lower(trim(e))), lambda e: e <> '')) AS ents
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY content DESC NULLS LAST) AS rn FROM knowledge_objects WHERE id IS NOT NULL) WHERE rn = 1)"""
+_SIMILAR = f"""{_RECORDS}, g AS (SELECT DISTINCT id, substr(n, i, 3) AS t FROM (SELECT id, n, unnest(generate_series(1, length(n) - 2)) AS i FROM o WHERE length(n) >= 3)),
+      c AS (SELECT id, count(*) AS k FROM g GROUP BY id),
+      b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS n_both FROM g x JOIN g y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id),
+      similar_pairs AS (SELECT id_a, id_b FROM b JOIN c ca ON ca.id = id_a JOIN c cb ON cb.id = id_b JOIN o oa ON oa.id = id_a JOIN o ob ON ob.id = id_b
+        WHERE 5 * n_both >= 4 * (ca.k + cb.k - n_both) AND (len(oa.ents) = 0 OR len(ob.ents) = 0 OR len(list_intersect(oa.ents, ob.ents)) > 0))"""
+
 ORACLE: dict[str, str] = {
     "p1_found": f"SELECT DISTINCT video_id, idx FROM segments WHERE length(trim(text, {_BLANK})) > 300",
-    "p6_found": """WITH o AS (SELECT id, regexp_replace(lower(content), '[^\\pL\\pN]', '', 'g') AS n, list_distinct(list_filter(list_transform(coalesce(entities, []), lambda e: lower(trim(e))), lambda e: e <> '')) AS ents
-        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY content DESC NULLS LAST) AS rn FROM knowledge_objects WHERE id IS NOT NULL) WHERE rn = 1),
-      g AS (SELECT DISTINCT id, substr(n, i, 3) AS t FROM (SELECT id, n, unnest(generate_series(1, length(n) - 2)) AS i FROM o WHERE length(n) >= 3)),
-      c AS (SELECT id, count(*) AS k FROM g GROUP BY id),
-      b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS n_both FROM g x JOIN g y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
-      SELECT id_a, id_b FROM b JOIN c ca ON ca.id = id_a JOIN c cb ON cb.id = id_b JOIN o oa ON oa.id = id_a JOIN o ob ON ob.id = id_b
-      WHERE 5 * n_both >= 4 * (ca.k + cb.k - n_both) AND (len(oa.ents) = 0 OR len(ob.ents) = 0 OR len(list_intersect(oa.ents, ob.ents)) > 0)""",
+    "p6_found": f"WITH {_SIMILAR} SELECT id_a, id_b FROM similar_pairs",
+    "p6_classes": f"WITH {_RECORDS} SELECT id, min(id) OVER w AS class_id, count(*) OVER w AS class_size FROM o WHERE length(n) >= 3 WINDOW w AS (PARTITION BY n, list_sort(ents))",
+    "p6_groups": f"""WITH RECURSIVE {_SIMILAR}, e AS (SELECT id_a AS a, id_b AS b FROM similar_pairs UNION SELECT id_b, id_a FROM similar_pairs),
+      reached AS (SELECT id, id AS other FROM o UNION SELECT r.id, e.b FROM reached r JOIN e ON e.a = r.other),
+      links AS (SELECT a, count(*) AS k FROM e GROUP BY a)
+      SELECT id, min(other) AS group_id, coalesce(max(k), 0) AS n_links FROM reached LEFT JOIN links ON a = id GROUP BY id""",
 }
