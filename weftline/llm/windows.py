@@ -1,10 +1,13 @@
 """Problem 9: filling context windows of fixed capacity with texts.
 
-Method: swap-based local search. A first assignment (best fit, longest text
-first) is improved while it can be: the emptiest window gives its texts away
-by moves, one-for-one swaps and two-for-one swaps into underfull windows; each
-step fills a window further at the cost of a lesser filled one and so increases
-the sum of squared fills, until the giving window is empty and goes.
+Method: swap-based local search. Texts are first laid into windows in the order
+they come, which wastes about a fifteenth of the room. Then every window with
+room, the fullest first, takes what fills it best out of any other one: by a
+move, a swap of one for one (found in one sorted list of all texts in windows
+with room) or of two for one (out of the least filled windows). Each exchange
+fills a window further at the cost of a lesser filled one and so increases the
+sum of squared fills; room gathers in the least filled windows until they are
+empty and go. The search ends when no window can go any more or nothing moves.
 
 Plan. Sizes come from the tokenizer's counting operator (narrow). Rows then go
 to groups by a hash of their id: the groups are even whatever the data looks
@@ -34,107 +37,124 @@ from weftline.llm import tokens
 CAPACITY = 6000
 #: Texts of a packing group. Bounds a task's memory; the share of room lost falls with it.
 GROUP = 40_000
-#: Underfull windows that one giving window looks at in a round of the search.
-NEIGHBOURS = 64
+#: Least filled windows that are asked for two texts at once, and rounds of the search; both only bound its time.
+GIVERS, ROUNDS = 16, 40
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Windows as lists of item numbers: longest item first, each into the fullest window it fits."""
+def in_order(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Windows as lists of item numbers: items in the given order, a new window where one doesn't fit any more."""
     windows: list[list[int]] = []
-    free: list[tuple[int, int]] = []  # (room, window) in order
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        n = int(sizes[i])
-        k = bisect_left(free, (n, -1))
-        if k < len(free):
-            room, w = free.pop(k)
-            windows[w].append(i)
-            insort(free, (room - n, w))
-        else:
-            windows.append([i])
-            insort(free, (capacity - n, len(windows) - 1))
+    room = -1
+    for i, n in enumerate(sizes.tolist()):
+        if n > room:
+            windows.append([])
+            room = capacity
+        windows[-1].append(i)
+        room -= n
     return windows
 
 
-def _step(give: list[tuple[int, int]], take: list[tuple[int, int]], room: int) -> tuple[list, list] | None:
-    """What to exchange so that ``take`` (with ``room`` left) gains most: items out of ``give`` and out of ``take``.
-
-    Both lists are sorted by size. The gain is at least one token and at most ``room``.
-    """
-    sizes = [s for s, _ in give]
-    k = bisect_right(sizes, room)
-    best, out = (sizes[k - 1], ([give[k - 1]], [])) if k and sizes[k - 1] > 0 else (0, None)
-    if best == room:
-        return out
-    for t in take:
-        k = bisect_right(sizes, t[0] + room)
-        if k and sizes[k - 1] - t[0] > best:
-            best, out = sizes[k - 1] - t[0], ([give[k - 1]], [t])
-            if best == room:
-                return out
-    for j in range(1, len(give)):  # two of the giver for one of the taker
-        for t in take:
-            k = bisect_right(sizes, t[0] + room - sizes[j], 0, j)
-            if k and sizes[k - 1] + sizes[j] - t[0] > best:
-                best, out = sizes[k - 1] + sizes[j] - t[0], ([give[k - 1], give[j]], [t])
-                if best == room:
-                    return out
-    return out
-
-
-def local_search(windows: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty the least filled windows into other underfull ones, as long as a window can be emptied."""
-    items = [sorted((int(sizes[i]), i) for i in w) for w in windows]
-    fill = [sum(s for s, _ in w) for w in items]
-    live = set(range(len(items)))
-    while True:
-        under = sorted((w for w in live if fill[w] < capacity), key=lambda w: (fill[w], w))
-        if len(under) < 2:
-            break
-        total_room = sum(capacity - fill[w] for w in under[1:])
-        giver = under[0]
-        if total_room < fill[giver]:
-            # No window can go any more; the rest of the search only concentrates the room that is left.
-            moved = False
-            for w in reversed(under[1 : NEIGHBOURS + 1]):
-                while (x := _step(items[giver], items[w], capacity - fill[w])) and fill[giver] < fill[w] + sum(s for s, _ in x[0]):
-                    _exchange(items, fill, giver, w, x)
-                    moved = True
-                    if fill[w] == capacity:
-                        break
-            if not moved:
+class _Search:
+    """Windows with room, and all their items in order of size."""
+
+    def __init__(self, windows: list[list[int]], sizes: np.ndarray, capacity: int):
+        self.capacity = capacity
+        self.items = [sorted((int(sizes[i]), i) for i in w if sizes[i]) for w in windows]
+        self.fill = [sum(s for s, _ in w) for w in self.items]
+        self.where = {i: k for k, w in enumerate(self.items) for _, i in w}
+        self.index = sorted(x for k, w in enumerate(self.items) if self.fill[k] < capacity for x in w)
+
+    def _single(self, w: int) -> tuple[int, list, list]:
+        """The best move into ``w`` or swap of one for one: gain, items in, items out."""
+        room, mine, index = self.capacity - self.fill[w], self.fill[w], self.index
+        best: tuple[int, list, list] = (0, [], [])
+        for t in [(0, -1), *self.items[w]]:
+            k = bisect_right(index, (t[0] + room, 1 << 62)) - 1
+            while k >= 0 and (gain := index[k][0] - t[0]) > best[0]:
+                g = self.where[index[k][1]]
+                if g != w and self.fill[g] < mine + gain:
+                    best = (gain, [index[k]], [t] if t[1] >= 0 else [])
+                    break
+                k -= 1
+            if best[0] == room:
                 break
-            continue
+        return best
+
+    def _double(self, w: int, givers: list[int], least: int) -> tuple[int, list, list]:
+        """The best swap of two items of a giver for one of ``w`` (or for none) that gains more than ``least``."""
+        room, mine = self.capacity - self.fill[w], self.fill[w]
+        best: tuple[int, list, list] = (least, [], [])
+        for g in givers:
+            give = self.items[g]
+            if g == w or not self.fill[g] < mine + room:
+                continue
+            for t in [(0, -1), *self.items[w]]:
+                want = t[0] + room
+                for j in range(len(give) - 1, 0, -1):
+                    k = bisect_right(give, (want - give[j][0], 1 << 62), 0, j) - 1
+                    if k < 0:
+                        continue
+                    gain = give[j][0] + give[k][0] - t[0]
+                    if gain > best[0] and self.fill[g] < mine + gain:
+                        best = (gain, [give[k], give[j]], [t] if t[1] >= 0 else [])
+                        if gain == room:
+                            return best
+        return best
+
+    def _exchange(self, w: int, come: list, go: list) -> None:
+        g = self.where[come[0][1]]
+        for x in come:
+            self.items[g].remove(x)
+            insort(self.items[w], x)
+            self.where[x[1]] = w
+        for x in go:
+            self.items[w].remove(x)
+            insort(self.items[g], x)
+            self.where[x[1]] = g
+        gain = sum(s for s, _ in come) - sum(s for s, _ in go)
+        self.fill[g] -= gain
+        self.fill[w] += gain
+        if self.fill[w] == self.capacity:
+            for x in self.items[w]:
+                del self.index[bisect_left(self.index, x)]
+
+    def round(self) -> bool:
+        """Every window with room, the fullest first, takes what fills it best. Whether anything moved."""
+        open_ = sorted((w for w, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda w: (-self.fill[w], w))
         moved = False
-        for w in reversed(under[1:]):
-            while items[giver] and fill[w] < capacity and (x := _step(items[giver], items[w], capacity - fill[w])):
-                _exchange(items, fill, giver, w, x)
+        for w in open_:
+            while 0 < self.fill[w] < self.capacity:
+                gain, come, go = self._single(w)
+                if gain < self.capacity - self.fill[w]:
+                    least = sorted((g for g in open_[-4 * GIVERS :] if self.fill[g]), key=lambda g: (self.fill[g], g))[:GIVERS]
+                    more = self._double(w, least, gain)
+                    if more[1]:
+                        gain, come, go = more
+                if not come:
+                    break
+                self._exchange(w, come, go)
                 moved = True
-            if not fill[giver]:
-                break
-        if not fill[giver]:
-            zero = items[giver]
-            live.discard(giver)
-            if zero:
-                target = min(live)
-                items[target] = sorted(items[target] + zero)
-                items[giver] = []
-            continue
-        if not moved:
-            break
-    return [[i for _, i in items[w]] for w in sorted(live) if items[w]]
+        return moved
 
 
-def _exchange(items, fill, giver: int, taker: int, x: tuple[list, list]) -> None:
-    out, back = x
-    for t in out:
-        items[giver].remove(t)
-        insort(items[taker], t)
-    for t in back:
-        items[taker].remove(t)
-        insort(items[giver], t)
-    gain = sum(s for s, _ in out) - sum(s for s, _ in back)
-    fill[giver] -= gain
-    fill[taker] += gain
+def local_search(windows: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Fills windows by moves, swaps of one for one and of two for one, out of any window of lesser fill, and drops those that become empty.
+
+    Every exchange increases the sum of squared fills, so the search ends; after
+    ``ROUNDS`` rounds it ends anyway, which costs room but no item.
+    """
+    s = _Search(windows, sizes, capacity)
+    for _ in range(ROUNDS):
+        rest = sum(f for f in s.fill if f < capacity)
+        # No window can go any more once those with room are as few as they can be.
+        if sum(0 < f < capacity for f in s.fill) <= -(-rest // capacity) or not s.round():
+            break
+    out = [[i for _, i in w] for w in s.items if w]
+    nothing = [i for w in windows for i in w if not sizes[i]]
+    if nothing:
+        out = out or [[]]
+        out[-1] += nothing
+    return out
 
 
 def _packer(key: str, capacity: int):
@@ -144,7 +164,7 @@ def _packer(key: str, capacity: int):
         full = np.flatnonzero(sizes == capacity)
         rest = np.flatnonzero(sizes < capacity)
         windows = [[int(i)] for i in full]
-        inner = local_search(best_fit(sizes[rest], capacity), sizes[rest], capacity) if len(rest) else []
+        inner = local_search(in_order(sizes[rest], capacity), sizes[rest], capacity) if len(rest) else []
         windows += [[int(rest[i]) for i in w] for w in inner]
         number = np.empty(len(pdf), dtype=np.int64)
         for k, w in enumerate(windows):
