@@ -7,7 +7,8 @@ move, a swap of one for one (found in one sorted list of all texts in windows
 with room) or of two for one (out of the least filled windows). Each exchange
 fills a window further at the cost of a lesser filled one and so increases the
 sum of squared fills; room gathers in the least filled windows until they are
-empty and go. The search ends when no window can go any more or nothing moves.
+empty and go. Where the search gets stuck, the windows with room are laid out
+anew, longest text first, and it goes on. It ends when no window can go any more or nothing moves.
 
 Plan. Sizes come from the tokenizer's counting operator (narrow). Rows then go
 to groups by a hash of their id: the groups are even whatever the data looks
@@ -54,6 +55,23 @@ def in_order(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return windows
 
 
+def longest_first(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Windows as lists of item numbers: longest item first, each into the fullest window it fits."""
+    windows: list[list[int]] = []
+    free: list[tuple[int, int]] = []  # (room, window) in order
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n = int(sizes[i])
+        k = bisect_left(free, (n, -1))
+        if k == len(free):
+            windows.append([])
+            insort(free, (capacity, len(windows) - 1))
+            k = len(free) - 1
+        room, w = free.pop(k)
+        windows[w].append(i)
+        insort(free, (room - n, w))
+    return windows
+
+
 class _Search:
     """Windows with room, and all their items in order of size."""
 
@@ -144,11 +162,22 @@ def local_search(windows: list[list[int]], sizes: np.ndarray, capacity: int) ->
     ``ROUNDS`` rounds it ends anyway, which costs room but no item.
     """
     s = _Search(windows, sizes, capacity)
-    for _ in range(ROUNDS):
-        rest = sum(f for f in s.fill if f < capacity)
+    for k in range(ROUNDS):
+        rest = [w for w, f in enumerate(s.fill) if 0 < f < capacity]
         # No window can go any more once those with room are as few as they can be.
-        if sum(0 < f < capacity for f in s.fill) <= -(-rest // capacity) or not s.round():
+        if len(rest) <= -(-sum(s.fill[w] for w in rest) // capacity):
             break
+        if k % 8 != 7 and s.round():
+            continue
+        # Stuck, or for long busy with little: the windows with room are laid out anew, if that takes fewer of them.
+        mine = [i for w in rest for _, i in s.items[w]]
+        anew = longest_first(sizes[mine], capacity)
+        if len(anew) >= len(rest):
+            if k % 8 != 7:
+                break
+            continue
+        full = [[i for _, i in w] for w, f in zip(s.items, s.fill, strict=True) if f == capacity]
+        s = _Search(full + [[mine[j] for j in w] for w in anew], sizes, capacity)
     out = [[i for _, i in w] for w in s.items if w]
     nothing = [i for w in windows for i in w if not sizes[i]]
     if nothing:
