@@ -214,7 +214,7 @@ PAIRS = [
     ("What is the use of the pump?", "Der Druck ist nicht zu hoch und die Pumpe ist neu.", ["wrong_language"]),
     ("Bitte auf Deutsch antworten. What is the use of the pump?", "Der Druck ist nicht zu hoch und die Pumpe ist neu.", []),
     ("What is the use of the pump?", "It moves water. The other one moves the", ["truncated"]), ("What is the use?", "It works.\n```\nrun --now\n```", []), ("What is the use?", "It works.\n```\nrun --", ["truncated"]),
-    ("Steps?", "Steps:\n1. Lift the lid\n2. Close the lid", []), ("Steps?", "1. Lift the lid\n2.", ["truncated"]), ("How many?", "About 6 percent", []), ("Is it?", "Yes", []), ("Is it?", "It is the best of all the pumps here. (see 12:30)", []), (None, "It works.", []), (None, None, ["empty"]),
+    ("Steps?", "Steps:\n1. Lift the lid\n2. Close the lid", []), ("Steps?", "1. Lift the lid\n2.", ["truncated"]), ("How many?", "About 6 percent", []), ("How many?", "42", []), ("How many?", "42,", ["truncated"]), ("What is a pump?", "I'm sorry, but I can't help with that. " + "There are many reasons for it and none of them is yours. " * 8, ["refusal"]), ("Is it?", "Yes", []), ("Is it?", "It is the best of all the pumps here. (see 12:30)", []), (None, "It works.", []), (None, None, ["empty"]),
 ]
 
 

@@ -27,7 +27,7 @@ PLACEHOLDERS = ["null", "none", "nil", "nan", "n/a", "n.a.", "na", "tbd", "tba",
 
 #: Frequent function words by language; words of several languages count for each.
 FUNCTION_WORDS = {
-    "en": "the of and to is that it was for on are with as be at by this have from or had not but what which when how why where who you your they we she he can could would should must does do did an a in before after than more most less only about between never under while if then until without there has been its our whether define list give say me true gets steps",
+    "en": "the of and to is that it was for on are with as be at by this have from or had not but what which when how why where who you your they we she he can could would should must does do did an a in before after than more most less only about between never under while if then until without there has been its our whether me say give list define name explain describe tell show compare any all no so such these those them their his her out up into over because whose every each other some one many",
     "de": "der die das und ist nicht von zu den mit sich des auf für dem ein eine einen einem einer auch als an nach wie im für man aber aus durch wenn nur war wird bei oder muss hat noch viele dass ob was warum wie welche wo zwischen ohne über unter vor denn weil mehr zuerst dann am zum zur sehr nenne wirkt ich kann mir leid es tut",
     "fr": "le la les de des du et est un une que qui dans en pour pas sur au aux ce se sont avec par plus ne il elle on à comme mais ou où dont être avant après sans sous quand lorsque si alors entre trop comment pourquoi quels quelles quel quelle puis tandis car doit cette ces son sa ses l d qu n c je ne peux dois",
     "es": "el la los las de del y es un una que en para por con no se su al lo como más pero o sobre entre sin cuando si entonces muy antes después hasta desde donde qué cómo cuál cuáles cuántos por porque hay debe mucha gente nadie estaba fue ser está toda luego primero me puedo",
@@ -52,7 +52,6 @@ REFUSALS = [
     r"lo siento.{0,10} no|(?:lamentablemente|desafortunadamente),? no|no (?:me está permitido|puedo (?:ayudar|responder|dar|contestar))|(?:como (?:asistente|ia),? )?debo rechazar",
     r"(?:desculpe|lamento|sinto muito).{0,10} (?:mas )?não|infelizmente,? não|não (?:posso|consigo|me é permitido) (?:ajudar|responder|fornecer|dar)|(?:como (?:assistente|ia),? )?(?:devo|tenho de) recusar",
 ]
-LONGEST_REFUSAL = 320
 
 #: Words a complete answer doesn't end with.
 DANGLING = (
@@ -63,17 +62,19 @@ DANGLING = (
     "os as do da dos das e é um uma em no na nos nas com mas sem ao até"
 )
 
+#: Unicode's White_Space property.
+BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _CJK = r"[\x{3041}-\x{30FF}\x{4E00}-\x{9FFF}]"
 
 
 def _strip(c: Column) -> Column:
     c = F.regexp_replace(c, r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}]", "")
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def _plain(c: Column) -> Column:
     """Letters and digits only, in lower case."""
-    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
 def _words(c: Column) -> Column:
@@ -82,17 +83,26 @@ def _words(c: Column) -> Column:
 
 def _counts(text: Column) -> Column:
     """For each language, how many of its function words a text holds."""
-    words = _words(text)
-    return F.transform(F.array(*[F.array(*[F.lit(w) for w in sorted(set(v.split()))]) for v in FUNCTION_WORDS.values()]), lambda listed: F.size(F.array_intersect(words, listed)))
+    lists = [sorted(set(v.split())) for v in FUNCTION_WORDS.values()]
+    known = F.filter(F.array_distinct(_words(text)), lambda w: w.isin(*sorted({w for some in lists for w in some})))
+    # The counts lie side by side in one number, 12 bits each.
+    packed = F.aggregate(known, F.lit(0).cast("long"), lambda n, w: n + sum((F.when(w.isin(*some), F.lit(1 << 12 * k).cast("long")).otherwise(F.lit(0).cast("long")) for k, some in enumerate(lists)), F.lit(0).cast("long")))
+    return F.transform(F.array(packed), lambda n: F.array(*[F.shiftright(n, 12 * k).bitwiseAND(F.lit(4095).cast("long")) for k in range(len(lists))]))[0]
+
+
+def _within(a: Column | str, b: str, most: str) -> Column:
+    """Whether two columns are at most ``most`` edits apart; lengths are compared first, and the distance stops at the bound."""
+    return F.expr(f"abs(length({a}) - length({b})) <= {most} AND levenshtein({a}, {b}, {most}) >= 0")
 
 
 def _language(text: Column, counts: Column) -> Column:
     """Language of a text by script and function words; null where they don't tell or two languages lead."""
     best = F.array_max(counts)
     alone = F.size(F.filter(counts, lambda c: c == best)) == 1
+    some = text.rlike(_CJK)
     cjk, letters = F.regexp_count(text, F.lit(_CJK)), F.regexp_count(text, F.lit(r"\p{L}"))
     names = F.array(*[F.lit(k) for k in FUNCTION_WORDS])
-    return F.when((cjk >= 3) & (cjk * 5 >= letters), F.lit("ja")).when((best >= 2) & alone, F.element_at(names, F.array_position(counts, best).cast("int")))
+    return F.when(some & (cjk >= 3) & (cjk * 5 >= letters), F.lit("ja")).when((best >= 2) & alone, F.element_at(names, F.array_position(counts, best).cast("int")))
 
 
 def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
@@ -106,52 +116,53 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
 
     bare = F.regexp_replace(F.lower(a), r"(?U)^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", "")
     slash = F.regexp_replace(F.lower(a), r"(?U)^[\s(\[<{\"'*]+|[\s)\]>}\"'*.]+$", "")
-    empty = F.col(answer).isNull() | (bare == "") | bare.isin(*PLACEHOLDERS) | slash.isin(*PLACEHOLDERS)
+    # No placeholder has more letters and digits.
+    longest = max(map(len, PLACEHOLDERS))
+    empty = F.col(answer).isNull() | a.rlike(r"(?U)^[\s\p{P}\p{S}]*$") | ((F.length(an) <= longest) & (bare.isin(*PLACEHOLDERS) | slash.isin(*PLACEHOLDERS)))
 
-    # What a text leaves of an answer that holds it, all its copies taken out.
+    # A question may carry a sentence that asks for a language; the rest of it is asked all the same.
     asked_any = "(?i)" + "|".join(ASKS_FOR.values())
-    bare_q = F.regexp_replace(q, rf"(?i)[^.!?。！？]*(?:{'|'.join(ASKS_FOR.values())})[^.!?。！？]*[.!?。！？]?", " ")
+    work = once(work, _empty=empty, _asks=F.coalesce(q.rlike(asked_any), F.lit(False)))
+    asks = F.col("_asks")
+    kept = F.array_join(F.filter(F.split(q, r"(?<=[.!?。！？])"), lambda x: ~x.rlike(asked_any)), " ")
+    work = once(work, _tq=F.when(asks, kept).otherwise(q))
+    # What a text leaves of an answer that holds it, all its copies taken out.
     left = lambda text: F.when((F.length(text) >= 8) & F.contains(an, text), F.replace(an, text, F.lit("")))
-    work = once(work, _empty=empty, _bare=F.when(q.rlike(asked_any), _plain(bare_q)))
-    work = once(work, _rest=F.coalesce(left(qn), left(F.col("_bare"))))
-    empty, rest = F.col("_empty"), F.col("_rest")
+    work = once(work, _rest=F.coalesce(left(qn), F.when(asks, left(_plain(F.col("_tq"))))), _slack=F.greatest(F.lit(2), (F.length(qn) / 10).cast("int")), _head=F.expr("left(_an, length(_qn))"), _tail=F.expr("right(_an, length(_qn))"))
+    empty, rest, slack = F.col("_empty"), F.col("_rest"), F.col("_slack")
     ql, al = F.length(qn), F.length(an)
-    slack = F.greatest(F.lit(2), (ql / 10).cast("int"))
     near = (ql >= 8) & (al >= ql - slack) & (al <= ql + 30)
-    tail = F.expr("right(_an, length(_qn))")
-    head = F.expr("left(_an, length(_qn))")
-    close = (F.levenshtein(qn, an) <= slack) | (F.levenshtein(qn, tail) <= slack) | ((al <= ql + 12) & (F.levenshtein(qn, head) <= slack))
-    # A question may carry a sentence that asks for a language; copying the rest is an echo too.
+    close = _within("_qn", "_an", "_slack") | _within("_qn", "_tail", "_slack") | ((al <= ql + 12) & _within("_qn", "_head", "_slack"))
+    # Copying the rest of such a question is an echo too.
     part = (al >= 8) & (al < ql) & (al * 10 >= ql * 6) & F.contains(qn, an)
-    echo = F.when(near, close | F.contains(an, qn)).otherwise(part & q.rlike(asked_any))
+    echo = F.when(near, F.contains(an, qn) | close).otherwise(part & asks)
     # So is the question said again and again, however long that gets.
-    again = (F.length(rest) <= slack) | (F.levenshtein(qn, rest) <= slack)
+    again = (F.length(rest) <= slack) | _within("_qn", "_rest", "_slack")
     echo = F.coalesce(echo, F.lit(False)) | F.coalesce(again, F.lit(False))
 
     low = F.col("_low")
-    refusal = (F.length(a) <= LONGEST_REFUSAL) & low.rlike("^(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")")
+    refusal = low.rlike("^(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")")
 
-    work_q = F.when(q.rlike(asked_any), bare_q).otherwise(q)
     prose = F.regexp_replace(core, r"(?s)```.*?(?:```|$)", " ")
     last_line = F.element_at(F.split(core, r"\n"), -1)
-    work = once(work, _tq=work_q, _ta=prose, _low=F.regexp_replace(F.lower(core), "[’`]", "'"), _last=last_line, _words=_words(core))
+    work = once(work, _ta=prose, _low=F.regexp_replace(F.lower(core), "[’`]", "'"), _last=last_line, _words=_words(core))
     work = once(work, _nq=_counts(F.col("_tq")), _na=_counts(F.col("_ta")))
     work = once(work, _lq=_language(F.col("_tq"), F.col("_nq")), _la=_language(F.col("_ta"), F.col("_na")))
     lq, la = F.col("_lq"), F.col("_la")
     asked = F.lit(False)
     for k, rx in ASKS_FOR.items():
         asked = asked | ((la == k) & q.rlike("(?i)" + rx))
-    wrong = F.coalesce((lq != la) & ~asked, F.lit(False))
+    wrong = F.coalesce(lq != la, F.lit(False)) & ~F.coalesce(asks & asked, F.lit(False))
 
     fences = F.regexp_count(a, F.lit("```"))
     last = F.col("_last")
     listed = last.rlike(r"(?U)^\s*(?:\d{1,3}[.)、．]|[-*•・])(?:\s|$)")
     item = F.regexp_replace(last, r"(?U)^\s*(?:\d{1,3}[.)、．]|[-*•・])\s*", "")
     words = F.col("_words")
-    dangles = F.coalesce(F.element_at(words, -1).isin(*sorted(set(DANGLING.split()))), F.lit(False)) & core.rlike(r"(?U)[\p{L}]$")
+    dangles = F.coalesce(F.try_element_at(words, F.lit(-1)).isin(*sorted(set(DANGLING.split()))), F.lit(False)) & core.rlike(r"(?U)[\p{L}]$")
     open_end = core.rlike(r"(?U)[,;:(\[{\-–—/、・「『（]$") | (F.regexp_count(last, F.lit(r"[(（「『\[]")) > F.regexp_count(last, F.lit(r"[)）」』\]]")))
     stops = core.rlike(r"(?U)[.!?。！？](?:[\s\"'»”’)\]）」』*_`]*)$") & ~core.rlike(r"(?:\.\.\.|…)$")
-    cjk = F.regexp_count(core, F.lit(_CJK))
+    cjk = F.when(core.rlike(_CJK), F.regexp_count(core, F.lit(_CJK))).otherwise(0)
     many = (F.size(F.filter(F.split(core, r"(?U)\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))) > 7) | (cjk >= 10)
     earlier = core.rlike(r"(?Us)[.!?](?:\s)|[。！？]")
     japanese_cut = core.rlike(_CJK + "$") & (cjk >= 3) & core.rlike(r"[はがをにのとでへもやか、]$")
