@@ -111,7 +111,7 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
     work = once(df, _q=_strip(F.col(question)), _a=_strip(F.col(answer)))
     # What may follow the last sentence: emoji, a time mark or a reference in brackets.
     decor = r"(?U)(?:\s|[\p{So}\x{1F3FB}-\x{1F3FF}\x{FE0F}\x{200D}]|[\[(](?:see |at |vgl\. |cf\. )?(?:\d{1,2}:\d\d(?::\d\d)?|\d+ ?s|\d{1,3})[\])])+$"
-    work = once(work, _core=F.regexp_replace("_a", decor, ""), _qn=_plain(q), _an=_plain(a))
+    work = once(work, _core=F.when(F.right(a, F.lit(1)).rlike(r"(?U)[\s\p{So}\x{1F3FB}-\x{1F3FF}\x{FE0F}\x{200D}\])]"), F.regexp_replace("_a", decor, "")).otherwise(a), _qn=_plain(q), _an=_plain(a))
     core, qn, an = F.col("_core"), F.col("_qn"), F.col("_an")
 
     bare = F.regexp_replace(F.lower(a), r"(?U)^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", "")
@@ -158,17 +158,18 @@ def defects(df: DataFrame, question: str, answer: str) -> DataFrame:
     last = F.col("_last")
     listed = last.rlike(r"(?U)^\s*(?:\d{1,3}[.)、．]|[-*•・])(?:\s|$)")
     item = F.regexp_replace(last, r"(?U)^\s*(?:\d{1,3}[.)、．]|[-*•・])\s*", "")
-    words = F.col("_words")
-    dangles = F.coalesce(F.try_element_at(words, F.lit(-1)).isin(*sorted(set(DANGLING.split()))), F.lit(False)) & core.rlike(r"(?U)[\p{L}]$")
-    open_end = core.rlike(r"(?U)[,;:(\[{\-–—/、・「『（]$") | (F.regexp_count(last, F.lit(r"[(（「『\[]")) > F.regexp_count(last, F.lit(r"[)）」』\]]")))
-    stops = core.rlike(r"(?U)[.!?。！？](?:[\s\"'»”’)\]）」』*_`]*)$") & ~core.rlike(r"(?:\.\.\.|…)$")
+    words, end = F.col("_words"), F.right(core, F.lit(1))
+    dangles = F.coalesce(F.try_element_at(words, F.lit(-1)).isin(*sorted(set(DANGLING.split()))), F.lit(False)) & end.rlike(r"\p{L}")
+    open_end = end.isin(*",;:([{-–—/、・「『（") | (F.regexp_count(last, F.lit(r"[(（「『\[]")) > F.regexp_count(last, F.lit(r"[)）」』\]]")))
+    closed = F.rtrim(core, F.lit(BLANKS + "\"'»”’)]）」』*_`"))
+    stops = F.right(closed, F.lit(1)).isin(*".!?。！？") & ~core.endswith("...")
     cjk = F.when(core.rlike(_CJK), F.regexp_count(core, F.lit(_CJK))).otherwise(0)
     many = (F.size(F.filter(F.split(core, r"(?U)\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))) > 7) | (cjk >= 10)
     earlier = core.rlike(r"(?Us)[.!?](?:\s)|[。！？]")
-    japanese_cut = core.rlike(_CJK + "$") & (cjk >= 3) & core.rlike(r"[はがをにのとでへもやか、]$")
+    japanese_cut = (cjk >= 3) & end.isin(*"はがをにのとでへもやか")
     truncated = (
         F.when(fences % 2 == 1, True)
-        .when(core.rlike(r"```$"), False)
+        .when(core.endswith("```"), False)
         .when(listed, (item == "") | dangles | open_end)
         .when(stops, False)
         .otherwise(open_end | dangles | many | earlier | japanese_cut)
