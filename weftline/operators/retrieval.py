@@ -39,6 +39,18 @@ def bm25_best(docs: DataFrame, key: str, text: str, queries: DataFrame, query_ke
     return _best(tf, weight, docs, queries, key, query_key, query, k)
 
 
+def with_unmatched(best: DataFrame, docs: DataFrame, key: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
+    """``best`` filled up to ``k`` rows per query with documents that hold no word of it: score 0, first by key.
+
+    A query that lacks rows has fewer than ``k`` hits, so the first ``2 k``
+    documents always hold enough others; only those are broadcast.
+    """
+    first = docs.select(key).orderBy(key).limit(2 * k)
+    short = queries.select(query_key).join(best.groupBy(query_key).agg(F.count(F.lit(1)).alias("_n")), query_key, "left").filter(F.coalesce("_n", F.lit(0)) < k).select(query_key)
+    more = short.crossJoin(F.broadcast(first)).join(best.select(query_key, key), [query_key, key], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.select(query_key, key, "score").unionByName(more), [query_key], [F.desc("score"), F.asc(key)], k)
+
+
 def density_best(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query: str, k: int) -> DataFrame:
     """``query_key, key, score, rank``: for each query the ``k`` texts of the highest ``density`` above 0, to 8 digits, ties by key."""
     tokens = docs.select(F.col(key).alias("d"), T.words(F.col(text)).alias("w"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 
+#: What an error message of a blocked source holds.
 BLOCKED = r"403|429|ip|block|cloud|sign in|bot"
 _CLOCK = r"(\d{2,}):(\d{2}):(\d{2}(?:\.\d+)?)"
 
@@ -54,6 +55,23 @@ def is_blocked(message: Column) -> Column:
     return F.lower(message).rlike(BLOCKED)
 
 
+def first_track(tracks: DataFrame, key: str, source: str, lang: str, automatic: str, cues: str) -> DataFrame:
+    """``key, source, lang, automatic`` of the track that is used: of the first source with any track of at least one cue the one of the best language, written by hand before automatic, then by name."""
+    order = F.struct(F.col(source).alias("s"), language_rank(F.col(lang)).alias("r"), F.coalesce(F.col(automatic), F.lit(False)).alias("a"), F.coalesce(lang, F.lit("")).alias("l"))
+    return tracks.filter(F.col(cues) > 0).groupBy(key).agg(F.min(order).alias("m")).select(key, F.col("m.s").alias(source), F.col("m.l").alias(lang), F.col("m.a").alias(automatic))
+
+
+def fetch_outcome(text: Column, message: Column) -> Column:
+    """``found``, ``blocked`` or ``missing`` for a source's text or error message."""
+    return F.when(F.coalesce(text, F.lit("")) != "", "found").when(is_blocked(F.coalesce(message, F.lit(""))), "blocked").otherwise("missing")
+
+
+def titled(details: DataFrame, titles: DataFrame, key: str) -> DataFrame:
+    """``details`` with the ``title`` of the search result of its key; empty where there is none."""
+    one = titles.groupBy(key).agg(F.max("title").alias("_t"))
+    return details.drop("title").join(one, key, "left").withColumn("title", F.coalesce("_t", F.lit(""))).drop("_t")
+
+
 def eligible_videos(df: DataFrame, longest: int = 3600) -> DataFrame:
     """Videos with an 11-character id and a duration of at most an hour; missing durations count as 0, missing titles as empty."""
     one = df.groupBy("video_id").agg(F.max(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("duration", F.lit(0)).alias("duration"))).alias("m"))

@@ -10,15 +10,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the first of ``order``. Rows with equal keys are one record.
+def latest(df: DataFrame, keys: list[str], order: list[str], columns: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key, with ``columns`` (all, if none are named): that of the greatest ``order``. Rows with equal keys are one record.
 
-    Uses ``max_by`` over the packed row, so the map side already keeps one row
-    per key and a hot key never gathers in one task.
+    What isn't asked for is pruned before the shuffle. Uses ``max_by`` over the
+    packed row, so the map side already keeps one row per key and a hot key
+    never gathers in one task.
     """
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in (columns or df.columns) if c not in keys]
     packed = F.struct(*rest)
-    picked = df.groupBy(*keys).agg(F.max_by(packed, F.struct(*order)).alias("_row"))
+    picked = df.select(*dict.fromkeys([*keys, *rest, *order])).groupBy(*keys).agg(F.max_by(packed, F.struct(*order)).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
