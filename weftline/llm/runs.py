@@ -194,7 +194,7 @@ def captions(df: DataFrame, entity: str, index: str, text: str, start: str, dura
     cols = [entity, index, start, duration, order]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
     norm = df.select(*cols, text).mapInArrow(_normaliser(cols, text), f"{kinds}, norm string")
-    one = latest(norm, [entity, index], [F.col(order), F.col("norm")])
+    one = latest(norm, [entity, index], [order, "norm"])
     s = F.col(start).cast("double")
     length = F.col(duration).cast("double")
     length = F.when(length.isNull() | F.isnan(length) | (length < 0), 0.0).otherwise(length)

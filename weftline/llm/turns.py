@@ -328,7 +328,7 @@ def _rows(df: DataFrame, origin: str, order: Column | None) -> DataFrame:
     """One record per key of a transcript table."""
     s = F.col("start_sec").cast("double")
     base = df.select("video_id", F.col("idx"), "text", s.alias("s"), (order if order is not None else F.lit(0)).alias("o"))
-    one = latest(base, ["video_id", "idx"], [F.col("o"), F.col("text"), F.col("s")])
+    one = latest(base, ["video_id", "idx"], ["o", "text", "s"])
     return one.filter(F.col("text").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s") & (F.abs("s") < 1e15)).select(F.lit(origin).alias("origin"), "video_id", "idx", "s", "text")
 
 
