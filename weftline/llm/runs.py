@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import written
 from weftline.sources.tables import latest
 
 PAUSE = 10.0
@@ -58,6 +59,7 @@ JA_NEGATION = re.compile(r"ない|ません|ぬ|ず(?:に|、|$)")
 
 _MUSIC = "♩♪♫♬♭♮♯"
 _ANNOTATION = re.compile(rf"\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}|【[^】]*】|「♪[^」]*」|〔[^〕]*〕|\*[^*\n]+\*|[{_MUSIC}][^{_MUSIC}\n]*[{_MUSIC}]|[{_MUSIC}]+")
+_OPENS = re.compile(rf"[\[({{【「〔*{_MUSIC}]")
 _OPEN = re.compile(r"\[[^\]]*$|\([^)]*$|^[^(]*\)|^[^\[]*\]")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _FILLER = re.compile(r"(?<!\w)(?:" + "|".join(FILLERS) + r")(?!\w)")
@@ -70,15 +72,19 @@ def normal(text: str | None) -> str:
     """A caption without what is left aside: words with single blanks, or Japanese characters after ``\\x01``; empty if skipped."""
     if not text or not text.strip():
         return ""
-    t = _TAG.sub(" ", html.unescape(text) if "&" in text else text)
-    t = unicodedata.normalize("NFKC", t).lower()
-    t = _ANNOTATION.sub(" ", t)
-    ja = len(_JA.findall(t))
+    t = html.unescape(text) if "&" in text else text
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    plain = t.isascii()
+    t = t.lower() if plain else unicodedata.normalize("NFKC", t).lower()
+    if _OPENS.search(t):
+        t = _ANNOTATION.sub(" ", t)
+    ja = 0 if plain else len(_JA.findall(t))
     if ja >= 3 and ja * 3 >= sum(map(str.isalpha, t)):
         t = _JA_FILLER.sub("", t)
         return "\x01" + "".join(re.findall(r"\d+(?:[.,]\d+)*|[^\W_]", t))
     words = _TOKEN.findall(_FILLER.sub(" ", t))
-    return " ".join(w.replace("’", "'") for w in words) or (" ".join(_TOKEN.findall(t)))
+    return " ".join(words).replace("’", "'") or " ".join(_TOKEN.findall(t))
 
 
 def _close(a: str, b: str) -> bool:
@@ -301,24 +307,18 @@ def _splitter(entity: str, index: str):
 
 def collapse(df: DataFrame, entity: str = "video_id", index: str = "idx", text: str = "text", start: str = "start_sec", duration: str = "duration", order: str = "ingested_at", pause: float = PAUSE) -> DataFrame:
     """``entity, first_idx, last_idx, first_start, covered, captions``: each run of two or more captions as one event."""
-    caps = captions(df, entity, index, text, start, duration, order)
-    inside = Window.partitionBy(entity, "chunk").orderBy("s", index)
+    caps = captions(df, entity, index, text, start, duration, order).withColumn("_e", F.struct(entity))
+    inside = Window.partitionBy("_e", "chunk").orderBy("s", index)
     row = F.struct("norm", "e")
-    lagged = caps.withColumn("prev", F.lag(row).over(inside)).withColumn("first_in_chunk", F.row_number().over(inside) == 1)
-    by_chunk = Window.partitionBy(entity).orderBy("chunk")
-    carry = (
-        caps.groupBy(entity, "chunk").agg(F.max_by(row, F.struct("s", index)).alias("tail"))
-        .select(F.col(entity).alias("c_entity"), F.col("chunk").alias("c_chunk"), F.lag("tail").over(by_chunk).alias("carried"))
-        .filter(F.col("carried").isNotNull())
-    )
-    joined = lagged.join(carry, F.col(entity).eqNullSafe(F.col("c_entity")) & (F.col("chunk") == F.col("c_chunk")), "left")
+    by_chunk = Window.partitionBy("_e").orderBy("chunk")
+    carry = caps.groupBy("_e", "chunk").agg(F.max_by(row, F.struct("s", index)).alias("tail")).withColumn("carried", F.lag("tail").over(by_chunk)).drop("tail")
+    # The window comes last: what it asks for, whole chunks in order, is what the lookup gets, whatever is done about skew below.
+    lagged = caps.hint("merge").join(carry.hint("merge"), ["_e", "chunk"]).withColumn("prev", F.lag(row).over(inside)).withColumn("first_in_chunk", F.row_number().over(inside) == 1)
     before = F.when(F.col("first_in_chunk"), F.col("carried")).otherwise(F.col("prev"))
-    ready = (
-        joined.select(entity, index, "chunk", "s", "e", "norm", "first_in_chunk", before["norm"].alias("p_norm"), before["e"].alias("p_e"))
-        .sortWithinPartitions(entity, "chunk", "s", index)
-    )
+    ready = lagged.select(entity, index, "chunk", "s", "e", "norm", "first_in_chunk", before["norm"].alias("p_norm"), before["e"].alias("p_e"))
     e_kind, i_kind = caps.schema[entity].dataType.simpleString(), caps.schema[index].dataType.simpleString()
     members = ready.mapInArrow(_lookup(entity, index, pause), f"`{entity}` {e_kind}, chunk bigint, `{index}` {i_kind}, s double, e double, norm string, run_s double, run_i {i_kind}, last boolean")
+    members = written(members, "runs-members")
     # A chunk's last run start, handed on to the chunks after it.
     tails = members.filter("last").select(
         F.col(entity).alias("c_entity"),
