@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.sources.tables import drawn
+from weftline.sources.tables import drawn, thinned
 
 LANGUAGES = ["en", "ja", "de", "fr", "es", "pt"]
 #: Labelled rows the filters are fitted on; bounds the driver's work.
@@ -60,8 +60,9 @@ SPELLINGS = {
     "pt": ["pt", "por", "portuguese", "português", "portugues", "portugiesisch", "portugais", "portugués", "ポルトガル語"],
 }
 
-_NOISE = re.compile(r"<[^<>]{0,200}>|\[[^\]]{0,80}\]|\([^)]{0,60}\)|\{[^}]{0,60}\}|【[^】]*】|（[^）]{0,40}）|\*[^*\n]{1,40}\*|[♩-♯]+|https?://\S+|&[a-z]+;|[^\s]*[\d_%@#][^\sぁ-ヿ一-鿿]*")
-_END = re.compile(r"[.!?…]+[\"'»”’)\]]*(?=\s|$)|[。！？]+[」』）]*|[\r\n]+|\s[/|–—\-•·]+\s|\s?///?\s?")
+_NOISE = re.compile(r"<[^<>]{0,200}>|\[[^\]]{0,80}\]|\([^)]{0,60}\)|\{[^}]{0,60}\}|【[^】]*】|（[^）]{0,40}）|\*[^*\n]{1,40}\*|[♩-♯]+|https?://\S+|&[a-z]+;|(?:(?<!\S)|(?<=[>\])}】）*♩-♯;]))[^\s]*[\d_%@#][^\sぁ-ヿ一-鿿]*")
+_NOISY = re.compile(r"[<\[({【（*♩-♯&\d_%@#]|http")
+_END = re.compile(r"(?=[.!?…。！？/\s])(?:[.!?…]+[\"'»”’)\]]*(?=\s|$)|[。！？]+[」』）]*|[\r\n]+|\s[/|–—\-•·]+\s|\s?///?\s?)")
 _WORD = re.compile(r"[^\W\d_ぁ-ヿ一-鿿ー々]+(?:['’][^\W\d_]+)?|[ぁ-ヿ一-鿿ー々]+")
 _JA = re.compile(r"[ぁ-ヿ一-鿿]")
 _HESITATION = {"um", "uh", "er", "hm", "hmm", "ah", "eh", "euh", "äh", "ähm", "えっと", "あのー", "えーと"}
@@ -81,7 +82,7 @@ def label(lang: Column) -> Column:
 
 def stretches(text: str) -> list[tuple[int, int, list[str]]]:
     """Begin, end and words of each stretch of a text."""
-    clean = _NOISE.sub(lambda m: " " * len(m[0]), text)
+    clean = _NOISE.sub(lambda m: " " * len(m[0]), text) if _NOISY.search(text) else text
     out, at = [], 0
     for m in [*_END.finditer(clean), None]:
         end = m.end() if m else len(text)
@@ -109,12 +110,13 @@ def features(groups: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     points, group, starts, blank = _layout(groups)
     hashes, owner, kind = [], [], []
     n = len(points)
-    for size in NGRAMS:
+    h = points[:0] if n < 1 else (points ^ np.uint64(3)) * _P
+    for size in range(2, max(NGRAMS) + 1):
         if n < size:
+            break
+        h = (h[:-1] ^ points[size - 1 :]) * _P  # a longer n-gram goes on where the shorter one ended
+        if size not in NGRAMS:
             continue
-        h = np.full(n - size + 1, size, dtype=np.uint64)
-        for k in range(size):
-            h = (h ^ points[k : n - size + 1 + k]) * _P
         inside = group[: n - size + 1] == group[size - 1 :]
         hashes.append(h[inside])
         owner.append(group[: n - size + 1][inside])
@@ -186,36 +188,39 @@ class Filters:
         return grams, words
 
 
-def decide(parts: list[tuple[int, int, list[str]]], grams: np.ndarray, words: np.ndarray) -> tuple[str | None, float, list[tuple[int, int, str, float]]]:
+def _first_two(row: list[float]) -> tuple[int, float, float]:
+    """Place of the greatest number (the first of equal ones), it, and the greatest of the rest."""
+    best = max(row)
+    k = row.index(best)
+    return k, best, max(row[:k] + row[k + 1 :])
+
+
+def decide(parts: list[tuple[int, int, list[str]]], grams: list[list[float]], words: list[list[float]]) -> tuple[str | None, float, list[tuple[int, int, str, float]]]:
     """Language and confidence of a text, and its stretches, joined where neighbours agree."""
     if not parts:
         return None, 0.0, []
-    total = grams.sum(0)
-    main = int(total.argmax())
+    total = [sum(column) for column in zip(*grams, strict=True)]
+    main = _first_two(total)[0]
     sure: list[tuple[int, float] | None] = []
     for (_, _, w), g, n in zip(parts, grams, words, strict=True):
-        k = int(g.argmax())
-        rest = float(np.delete(g, k).max())
-        lead = (g[k] - rest) / (g[k] + 1.0)
+        k, most, rest = _first_two(g)
+        lead = (most - rest) / (most + 1.0)
         enough = n[k] >= LEAST_WORDS or (LANGUAGES[k] == "ja" and sum(len(x) for x in w if _JA.match(x)) >= 6)
-        sure.append((k, float(lead)) if enough and lead >= 0.12 else None)
+        sure.append((k, lead) if enough and lead >= 0.12 else None)
     found = [s[0] for s in sure if s]
-    langs = [None] * len(parts)
-    last = None
-    for j, s in enumerate(sure):
+    langs, last = [], None
+    for s in sure:
         last = s[0] if s else last
-        langs[j] = last
+        langs.append(last)
     nxt = found[0] if found else main
-    for j in range(len(parts)):
-        if langs[j] is None:
-            langs[j] = nxt
+    langs = [nxt if k is None else k for k in langs]
     if found:
-        mass = Counter()
+        mass: Counter = Counter()
         for k, g in zip(langs, grams, strict=True):
-            mass[k] += float(g.sum()) + 1e-9
+            mass[k] += sum(g) + 1e-9
         main = max(mass, key=lambda k: (mass[k], -k))
-    second = float(np.delete(total, main).max())
-    confidence = float(total[main] / (total[main] + second)) if total[main] + second > 0 else 0.0
+    second = max(total[:main] + total[main + 1 :])
+    confidence = total[main] / (total[main] + second) if total[main] + second > 0 else 0.0
     joined: list[list] = []
     for (b, e, _), k, s in zip(parts, langs, sure, strict=True):
         c = 0.5 + s[1] / 2 if s else 0.0
@@ -228,16 +233,14 @@ def decide(parts: list[tuple[int, int, list[str]]], grams: np.ndarray, words: np
 
 
 def _tagger(filters, keys: list[str], text: str):
-    kind = pa.list_(pa.struct([("begin", pa.int32()), ("length", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filters(filters.value)
         for whole in batches:
             for b in range(0, whole.num_rows, 2000):
                 batch = whole.slice(b, 2000)
                 parts = [stretches(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                grams, words = f.counts([w for p in parts for _, _, w in p])
-                lang, conf, spans, known = [], [], [], []
+                grams, words = (x.tolist() for x in f.counts([w for p in parts for _, _, w in p]))
+                lang, conf, known, spans, ends = [], [], [], [], [0]
                 at = 0
                 for p in parts:
                     g, n = grams[at : at + len(p)], words[at : at + len(p)]
@@ -245,12 +248,20 @@ def _tagger(filters, keys: list[str], text: str):
                     x, c, s = decide(p, g, n)
                     lang.append(x)
                     conf.append(c)
-                    spans.append([{"begin": i, "length": j - i, "lang": k, "confidence": v} for i, j, k, v in s])
-                    k = LANGUAGES.index(x) if x else 0
-                    letters = sum(len(w) for _, _, ws in p for w in ws if _JA.match(w))
-                    known.append(int(n[:, k].sum()) if x and x != "ja" else LEAST_WORDS if letters >= 6 else 0)
+                    spans += s
+                    ends.append(len(spans))
+                    if x and x != "ja":
+                        k = LANGUAGES.index(x)
+                        known.append(int(sum(row[k] for row in n)))
+                    else:
+                        known.append(LEAST_WORDS if sum(len(w) for _, _, ws in p for w in ws if _JA.match(w)) >= 6 else 0)
+                begin, end, which, sure = zip(*spans, strict=True) if spans else ((), (), (), ())
+                begin = np.array(begin, dtype=np.int32)
+                flat = pa.StructArray.from_arrays(
+                    [pa.array(begin), pa.array(np.array(end, dtype=np.int32) - begin), pa.array(which, type=pa.string()), pa.array(sure, type=pa.float64())], names=["begin", "length", "lang", "confidence"]
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(batch.schema.get_field_index(c)) for c in keys], pa.array(lang, type=pa.string()), pa.array(conf, type=pa.float64()), pa.array(spans, type=kind), pa.array(known, type=pa.int32())],
+                    [*[batch.column(batch.schema.get_field_index(c)) for c in keys], pa.array(lang, type=pa.string()), pa.array(conf, type=pa.float64()), pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), flat), pa.array(known, type=pa.int32())],
                     names=[*keys, "true_lang", "confidence", "stretches", "known_words"],
                 )
 
@@ -259,8 +270,10 @@ def _tagger(filters, keys: list[str], text: str):
 
 def fitted(df: DataFrame, text: str, lang: str, train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """The filters' table from at most ``train_rows`` labelled rows of at most ``TRAIN_LONGEST`` characters, drawn by a hash of the text."""
-    labelled = df.select(F.col(text).alias("t"), label(F.col(lang)).alias("l")).filter(F.col("l").isNotNull() & F.length("t").between(1, TRAIN_LONGEST))
-    rows = drawn(labelled, train_rows, ["t", "l"], df.count()).collect()
+    # Thinned by the text before anything else is asked of a row.
+    some = thinned(df.select(F.col(text).alias("t"), F.col(lang).alias("l")), train_rows, ["t"], df.count())
+    labelled = some.select("t", label(F.col("l")).alias("l")).filter(F.col("l").isNotNull() & F.length("t").between(1, TRAIN_LONGEST))
+    rows = drawn(labelled, train_rows, ["t", "l"], train_rows, copies=LEAST_SEEN).collect()
     return Filters.fit([r.t for r in rows], [r.l for r in rows]).table
 
 
