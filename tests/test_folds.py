@@ -107,6 +107,13 @@ def test_greedy_dedup(spark, seed):
     assert got == greedy(rows, 3, 4, True, True)
 
 
+def test_greedy_chain_is_followed_to_its_end(spark):
+    """Each row is like the one before it only: every second stays, whatever the chain's length."""
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(9)], "a bigint, b bigint")
+    rows = spark.range(10).withColumnRenamed("id", "k")
+    assert sorted(r.k for r in dedup.greedy_keep(rows, "k", pairs).collect()) == [0, 2, 4, 6, 8]
+
+
 def test_cleaner(spark):
     rows = [("v", 0, "[Music]", 0.0, 1.0), ("v", 1, "...", 1.0, 1.0), ("v", 2, None, 2.0, 1.0), ("v", 3, "um, this is a good sentence about pumps.", 3.0, 2.0), ("v", 4, "um, this is a good sentence about pumps.", 9.0, 2.0)]
     df = spark.createDataFrame(rows, "video_id string, idx int, text string, start_sec double, duration double")

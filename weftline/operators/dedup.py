@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.session import written
+from weftline.session import discard, written
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, num: int, den: int, strict: bool) -> DataFrame:
@@ -42,15 +42,19 @@ def similar_pairs(df: DataFrame, key: str, text: str, num: int, den: int, strict
     return full.filter(hit).select("a", "b")
 
 
-def greedy_keep(df: DataFrame, key: str, pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """``df`` without the rows that the greedy pass in order of ``key`` removes. ``pairs`` holds ``a < b``."""
+def greedy_keep(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """``df`` without the rows that the greedy pass in order of ``key`` removes. ``pairs`` holds ``a < b``.
+
+    Every round decides at least the best undecided row of each component, so
+    the rounds end; their number is the longest chain of decisions that hang on
+    each other, not the number of rows.
+    """
     edges = written(pairs, "dedup-edges")
     removed = None
     kept = None
     live = edges
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
+    before = None
+    while not live.isEmpty():
         losers = live.select(F.col("b").alias("k")).distinct()
         # Not the worse end of any live pair: nothing better is undecided, so it stays.
         winners = live.select(F.col("a").alias("k")).distinct().join(losers, "k", "left_anti")
@@ -60,9 +64,10 @@ def greedy_keep(df: DataFrame, key: str, pairs: DataFrame, rounds: int = 60) ->
         kept = winners if kept is None else kept.unionByName(winners)
         live = live.join(gone.withColumnRenamed("k", "a"), "a", "left_anti").join(gone.withColumnRenamed("k", "b"), "b", "left_anti")
         live = live.join(winners.withColumnRenamed("k", "a"), "a", "left_anti")
-        live = written(live, "dedup-live")
-    else:
-        raise RuntimeError(f"undecided rows after {rounds} rounds")
+        live, old = written(live, "dedup-live"), before
+        before = live
+        if old is not None:
+            discard(old)
     if removed is None:
         return df
     return df.join(removed.select(F.col("k").alias(key)).distinct(), key, "left_anti")
