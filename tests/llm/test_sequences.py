@@ -99,6 +99,15 @@ def test_tags():
     assert got[8] == [(1, "every season")]
 
 
+def test_viterbi_does_not_hang_on_blocks(monkeypatch):
+    rng = random.Random(6)
+    rows = [[rng.randrange(len(turns.SHAPES)) for _ in range(rng.choice([0, 1, 5, 30, 400]))] for _ in range(60)]
+    model = turns.logs(*turns.prior())
+    whole = turns.viterbi(rows, model)
+    monkeypatch.setattr(turns, "CELLS", 500)
+    assert all((a == b).all() for a, b in zip(whole, turns.viterbi(rows, model), strict=True))
+
+
 @pytest.mark.parametrize("chunk", [3, 600])
 def test_turns(spark, monkeypatch, chunk):
     monkeypatch.setattr(turns, "CHUNK_SECONDS", chunk)

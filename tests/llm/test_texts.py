@@ -180,6 +180,7 @@ NAMES = personal.Names({"ysolde", "renske"}, {"kolbringer", "pomerance-vale"})
         ("Émeline Dunmorrow wrote from here", ["name"]),
         ("Ask Renske Pomerance-Vale if in doubt. K. Kolbringer", ["name", "name"]),
         ("ysolde_k renskeKolbringer", []),
+        ("Author: Łukasz Wiśniewski <l.w@mail.example.test>\nReviewed-by: Zoë Dvořáková", ["name", "email", "name"]),
         ("", []), (None, []),
     ],
 )

@@ -155,11 +155,14 @@ def _street_words() -> ahocorasick.Automaton:
     return a
 
 
-WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['’\-][A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+)*"
-UPPER = r"[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]{2,})*(?![A-Za-zÀ-ɏ0-9_(])"
+#: Capital and small letters of Latin with all its extensions.
+UP = "".join(c for c in map(chr, range(0x41, 0x250)) if c.isupper())
+LOW = "".join(c for c in map(chr, range(0x61, 0x250)) if c.islower())
+WORD = rf"[{UP}][{LOW}]+(?:['’\-][{UP}]?[{LOW}]+)*"
+UPPER = rf"[{UP}]{{2,}}(?:-[{UP}]{{2,}})*(?![A-Za-zÀ-ɏ0-9_(])"
 PARTICLE = r"(?:van|von|de|der|den|del|della|da|di|du|la|le|ten|ter|zu|zur|dos|bin|al)"
-TOKEN = rf"(?:{WORD}|{UPPER}|[A-ZÀ-ÖØ-Þ]\.)"
-RUN = re.compile(rf"(?<![A-Za-zÀ-ÖØ-öø-ÿ0-9_.]){TOKEN}(?:,?{SEP}(?:{PARTICLE}{SEP}){{0,2}}{TOKEN})+")
+TOKEN = rf"(?:{WORD}|{UPPER}|[{UP}]\.)"
+RUN = re.compile(rf"(?<![A-Za-zÀ-ÖØ-öø-ɏ0-9_.]){TOKEN}(?:,?{SEP}(?:{PARTICLE}{SEP}){{0,2}}{TOKEN})+")
 PIECE = re.compile(rf"({TOKEN})|({PARTICLE})(?={SEP})|(,)")
 TITLE = {"dr.", "dr", "mr.", "mr", "mrs.", "mrs", "ms.", "ms", "mx.", "prof.", "prof", "herr", "frau", "mme", "mme.", "mlle", "monsieur", "madame", "sr.", "sra.", "sr", "sra", "don", "doña", "señor", "señora", "sir", "dame", "rev."}
 #: Capitalised words that begin sentences or label lines; never a part of a name.

@@ -40,6 +40,8 @@ from weftline.sources.tables import drawn, latest
 
 CHUNK_SECONDS = 600
 TRAIN_ROWS = 3000
+#: Tokens decoded at once, padding included; bounds memory only.
+CELLS = 100_000
 
 #: Sounds of hesitation, and fillers that are words.
 HESITATION = r"u+m+|u+h+|e+r+m?|h+m+|m+h*m+|a+h+|e+h+|e+u+h+|[äö]+h+m?|ahn|hein|あのー*|そのー*|え[ーえ]+と?|えっと|ええと|う[ーう]+ん*|んー+|あー+|まあ"
@@ -210,9 +212,11 @@ def viterbi(rows: list[list[int]], model: tuple[np.ndarray, np.ndarray]) -> list
     live = int((lens > 0).sum())
     if not live:
         return out
-    block = 2048
-    for b in range(0, live, block):
-        e = min(live, b + block)
+    b = e = 0
+    while e < live:
+        b = e
+        # Rows are padded to the longest of their block: the longer they are, the fewer.
+        e = min(live, b + max(1, CELLS // int(lens[b])))
         size = lens[b:e]
         n, top = e - b, int(size[0])
         back = np.zeros((top, n, len(STATES)), dtype=np.int8)
