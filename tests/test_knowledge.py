@@ -81,6 +81,13 @@ def test_objects_of_types_of_any_video(spark, tmp_path):
     assert {r.id for r in library.objects_of_types(spark, str(tmp_path)).collect()} == {"abc_0", "Abc_0", "0bc_0", "-bc_0", "_bc_0"}
 
 
+def test_types_of_a_video_are_named_once(spark, tmp_path):
+    from weftline.plans import library
+
+    _stored(spark, tmp_path, [(f"{v}_{k}", t, "x", [], 0.5, v, 1.0, "en") for k, (v, t) in enumerate((("a", "risk"), ("a", "Risk"), ("a", "claim"), ("a", "risk"), ("b", "metric"), ("b", None), ("b", "nope"), ("c", None)))])
+    assert {r.video_id: r.types for r in library.types_by_video(spark, str(tmp_path)).collect()} == {"a": "claim,risk", "b": "metric"}
+
+
 def test_objects_of_all_asked_videos(spark, tmp_path):
     from weftline.plans import library
 

@@ -208,7 +208,7 @@ def objects_of_types(spark, folder):
 @query(f"WITH {_OBJECTS_SQL}, {_TYPES_SQL} SELECT video_id, string_agg(o.ktype, ',' ORDER BY ord) AS types FROM (SELECT DISTINCT video_id, ktype FROM objects) o JOIN dim USING (ktype) GROUP BY video_id")
 def types_by_video(spark, folder):
     dim = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(knowledge.TYPES)], "ord int, ktype string")
-    rows = _objects(spark, folder, "video_id", "ktype").distinct().join(F.broadcast(dim), "ktype")  # ten rows
+    rows = _objects(spark, folder, "video_id", "ktype").select("video_id", "ktype").distinct().join(F.broadcast(dim), "ktype")  # ten rows
     return rows.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "ktype"))), lambda x: x["ktype"]), ",").alias("types"))
 
 
