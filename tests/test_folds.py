@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import cleaner, dedup, folds
+from weftline.operators import cleaner, dedup, folds, overlaps
 from weftline.sources import captions
 
 
@@ -114,6 +114,45 @@ def test_greedy_chain_is_followed_to_its_end(spark):
     assert sorted(r.k for r in dedup.greedy_keep(rows, "k", pairs).collect()) == [0, 2, 4, 6, 8]
 
 
+@pytest.mark.parametrize(("num", "den", "strict", "small"), [(3, 4, True, 24), (3, 4, True, 1), (7, 10, False, 2), (1, 1, False, 3)])
+def test_similar_pairs_against_all_pairs(spark, monkeypatch, num, den, strict, small):
+    """Few words in many texts, so that most meet in large groups; copies, short texts and, for small numbers, steps of a few items."""
+    monkeypatch.setattr(overlaps, "SMALL", small)
+    monkeypatch.setattr(overlaps, "MORE", 2)
+    monkeypatch.setattr(overlaps, "HELD", 1 << 20 if small == 24 else 50)
+    rng = random.Random(small)
+    texts = [" ".join(rng.sample([f"w{k}" for k in range(12)], rng.randint(1, 9))) for _ in range(150)] + ["same"] * 30 + ["two words"] * 3 + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    got = sorted(map(tuple, overlaps.similar_pairs(df, "k", "t", num, den, strict).collect()))
+    w = [words(t) for t in texts]
+    both = {(a, b): (len(w[a] & w[b]) * den, len(w[a] | w[b]) * num) for a in range(len(w)) for b in range(a + 1, len(w)) if w[a] and w[b]}
+    assert got == sorted(p for p, (o, u) in both.items() if (o > u if strict else o >= u))
+    assert overlaps.similar_pairs(df.limit(0), "k", "t", num, den, strict).count() == 0
+
+
+def test_similar_pairs_with_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "FREQUENT", 4)
+    rng = random.Random(5)
+    texts = [" ".join([f"r{rng.randint(0, 60)}" for _ in range(3)] + rng.sample("abcdef", 5)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    w = [words(t) for t in texts]
+    assert sorted(map(tuple, overlaps.similar_pairs(df, "k", "t", 3, 5, False).collect())) == [(a, b) for a in range(200) for b in range(a + 1, 200) if jac(w[a], w[b]) >= 0.6]
+
+
+def test_merged_sources_holds_no_candidates(spark):
+    """Two thousand texts of the same common words with nothing alike: what is shuffled follows the texts, not the pairs that share a word."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.sample([f"w{k}" for k in range(60)], 12)), "xy"[i % 2]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, content string, src string")
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("merged", "merged")
+    assert dedup.merge_sources(df, "content", "src", [F.col("id")]).count() == 2000
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in tracker.getJobIdsForGroup("merged") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 50_000
+
+
 def test_cleaner(spark):
     rows = [("v", 0, "[Music]", 0.0, 1.0), ("v", 1, "...", 1.0, 1.0), ("v", 2, None, 2.0, 1.0), ("v", 3, "um, this is a good sentence about pumps.", 3.0, 2.0), ("v", 4, "um, this is a good sentence about pumps.", 9.0, 2.0)]
     df = spark.createDataFrame(rows, "video_id string, idx int, text string, start_sec double, duration double")

@@ -1,47 +1,21 @@
 """Greedy removal of near-duplicates over a whole collection.
 
-Candidates come from a prefix join on words in global order from rare to
-frequent; pairs are filtered by size and by the position of the shared word and
-verified exactly. Who stays is the lexicographically first maximal independent
-set in priority order: a row is kept once all its better neighbours are removed,
-and removed once a better neighbour is kept. Each round is one join over what is
-undecided, written to the shared folder to cut the lineage.
-
-The word order is a hash order refined by document frequency: frequencies are
-joined by word, never collected.
+Pairs that are alike come from ``overlaps``. Who stays is the lexicographically
+first maximal independent set in priority order: a row is kept once all its
+better neighbours are removed, and removed once a better neighbour is kept. Each
+round is one join over what is undecided, written to the shared folder to cut
+the lineage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions import text as T
+from weftline.operators.overlaps import similar_pairs
 from weftline.session import discard, written
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, num: int, den: int, strict: bool) -> DataFrame:
-    """``a, b`` with ``a < b``: rows whose word Jaccard is at least (or, if strict, above) ``num / den``. Empty texts match nothing."""
-    sets = df.select(F.col(key).alias("k"), F.array_distinct(T.words(F.col(text))).alias("w")).filter(F.size("w") > 0)
-    sets = written(sets.withColumn("n", F.size("w")), "dedup-sets")
-    words = sets.select("k", "n", F.explode("w").alias("x"))
-    freq = words.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
-    # ``n - ceil(t n) + 1`` words from the rare end.
-    need = (F.col("n") * num + den - 1) / den
-    length = F.col("n") - F.floor(need).cast("int") + 1
-    ordered = words.join(freq, "x").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("o"))
-    posts = ordered.select("k", "n", F.posexplode(F.slice("o", F.lit(1), F.greatest(length, F.lit(1)))).alias("pos", "fx")).select("k", "n", "pos", F.col("fx.x").alias("x"))
-    na, nb = F.col("a.n"), F.col("b.n")
-    least = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))
-    ok = (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (least * (num + den) >= (na + nb) * num)
-    cand = posts.alias("a").join(posts.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.k") < F.col("b.k")) & ok).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    full = cand.join(sets.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    either = F.size("wa") + F.size("wb") - both
-    hit = (both * den > either * num) if strict else (both * den >= either * num)
-    return full.filter(hit).select("a", "b")
-
-
 def greedy_keep(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """``df`` without the rows that the greedy pass in order of ``key`` removes. ``pairs`` holds ``a < b``.
 
@@ -89,8 +63,9 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
         offsets.append((p, total))
         total += sizes[p]
     base = df.sparkSession.createDataFrame(offsets or [(0, 0)], S.StructType([S.StructField("_p", S.IntegerType()), S.StructField("_base", S.LongType())]))
-    at = F.row_number().over(Window.partitionBy("_p").orderBy("_m"))
-    return spread.withColumn("_r", at).join(F.broadcast(base), "_p").withColumn(name, F.col("_r") + F.col("_base")).drop("_p", "_m", "_r", "_base")
+    # The low 33 bits count the rows of a partition from 0.
+    at = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return spread.join(F.broadcast(base), "_p").withColumn(name, at + F.col("_base")).drop("_p", "_m", "_base")
 
 
 def deduplicate(df: DataFrame, text: str, order: list[Column], num: int = 7, den: int = 10) -> DataFrame:
